@@ -33,14 +33,14 @@ from quillscan.llm.common import WORD, stash, text_of
 CHUNK = 8192  #: draws that one row of the plan is expanded to
 
 
-def permuted(df: DataFrame, index: str, n: str, seed: Column, rounds: int = 10) -> DataFrame:
-    """Replace the numbers 0..n-1 in the column index by their places in a pseudorandom permutation of these."""
-    for r in range(rounds):
-        other = F.pmod(F.pmod(F.xxhash64(seed, F.lit(r)), F.col(n)) - F.col(index), F.col(n))
-        df = df.withColumn("_other", other)
-        coin = F.xxhash64(F.greatest("_other", index), seed, F.lit(1000 + r)).bitwiseAND(F.lit(1)) == 1
-        df = df.withColumn(index, F.when(coin, F.col("_other")).otherwise(F.col(index)))
-    return df.drop("_other")
+def permuted(index: Column, n: Column, seed: Column, rounds: int = 10) -> Column:
+    """The place of each of 0..n-1 in a pseudorandom permutation of these."""
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(seed, r), n) - x, n)
+        return F.when(F.xxhash64(F.greatest(x, other), r, seed).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, swap)
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -80,7 +80,7 @@ def draws(sources: DataFrame, shard_slots: int = 65536, seed: int = 11) -> DataF
     every = chunks.repartition("sid", "chunk").select("sid", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("draws")) - 1)).alias("g"))
     shards = F.lit(max(1, -(-(sources.agg(F.sum("draws")).first()[0] or 0) // shard_slots)))
     every = every.select("sid", "blocks", F.pmod(F.xxhash64("sid", "g", F.lit(seed)), shards).alias("shard"), F.xxhash64("g", "sid", F.lit(seed + 1)).alias("slot"), (F.col("g") % F.col("blocks")).alias("block"), F.floor(F.col("g") / F.col("blocks")).cast("int").alias("pass"))
-    return permuted(every, "block", "blocks", F.xxhash64("sid", F.lit(seed + 2))).drop("blocks")
+    return every.withColumn("block", permuted(F.col("block"), F.col("blocks"), F.xxhash64("sid", F.lit(seed + 2)))).drop("blocks")
 
 
 def pieces(placed: DataFrame, block_words: int) -> DataFrame:

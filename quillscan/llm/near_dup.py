@@ -107,7 +107,7 @@ def signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, r
     clock, turn = np.zeros(len(doc)), 0
     while len(doc):
         turn += 1
-        r = mixed(value + np.uint64(turn) * _MIX)
+        r = mixed(value + np.uint64(turn * int(_MIX) & (1 << 64) - 1))
         clock = clock - np.log1p(-(r >> np.uint64(11)).astype("f8") * 2.0**-53) / weight
         spot = doc * registers + (mixed(r ^ _MIX) % np.uint64(registers)).astype("i8")
         early = clock < when[spot]

@@ -160,7 +160,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: fl
 def digest(scanned: DataFrame) -> DataFrame:
     """The other columns, with n_assign, n_access, n_hex, base_sha256, spans (all, as text) and n_random in place of spans."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ORDER]
+    of_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter(spans, of_kind(k))).cast("long").alias(f"n_{k}") for k in ORDER]
     as_text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.sha2(as_text(F.filter(spans, lambda s: s["kind"] != "random")), 256)
     return scanned.select(*[c for c in scanned.columns if c != "spans"], *counts[:3], base.alias("base_sha256"), as_text(spans).alias("spans"), counts[3])
