@@ -78,7 +78,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(flat)
     whole = np.zeros(n, "u8")
     for i in range(WORDS):  # windows of the flat array; those that cross a text's end are not taken
-        whole[: n - i] = mixed(whole[: n - i] * np.uint64(3) + flat[i:] + _MIX)
+        m = max(0, n - i)
+        whole[:m] = mixed(whole[:m] * np.uint64(3) + flat[n - m :] + _MIX)
     counts = np.where(sizes >= WORDS, sizes - WORDS + 1, 0)
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), counts)

@@ -128,7 +128,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: fl
     """The columns in keep, and spans: array<struct<start, rank, end, kind>> in order of start, then kind (rank 0 to 3)."""
     body = text_of(text)
     hits = F.concat(*[_hits(body, *kind) for kind in (*BASE, ("random", RUN, 0, MIN_TOKEN))])
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), hits.alias("hits"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), hits.alias("hits"))
     rows = stash(rows, "hits")
     each = rows.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
     in_order = Window.partitionBy("rid", "kind").orderBy("i")
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: fl
     found = each.where(~F.coalesce(structured, F.lit(False))).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans"))
     found = stash(found, "found")
     none = F.array().cast(found.schema["spans"].dataType)
-    return rows.select("rid", "row").join(found, "rid", "left").select("row.*", F.coalesce("spans", none).alias("spans"))
+    return rows.select("rid", "row").join(found, "rid", "left").select(*[F.col("row")[c].alias(c) for c in keep], F.coalesce("spans", none).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
