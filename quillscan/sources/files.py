@@ -26,9 +26,10 @@ def read(spark: SparkSession, paths: Sequence[str], *, include_hidden: bool = Fa
     """Files and whole directories. Files that are named are taken whether hidden or not; missing paths are passed over."""
     found = spark.createDataFrame([], SCHEMA)
     for p in paths:
-        local = os.path.exists(p)
+        given, local = p, os.path.exists(p)
         if "://" not in p and not local:
             continue
+        p = os.path.abspath(p) if local else p
         if local and os.path.isdir(p) and include_hidden:
             names = [(os.path.join(d, f),) for d, _, fs in os.walk(p) for f in fs]
             rows = from_paths(spark, [n for n, in names])
@@ -37,6 +38,8 @@ def read(spark: SparkSession, paths: Sequence[str], *, include_hidden: bool = Fa
         if local and os.path.isdir(p) and not include_hidden:
             below = F.regexp_replace("path", "^" + re.escape(os.path.abspath(p)), "")
             rows = rows.where(~below.rlike(r"(^|/)\.[^/]+"))
+        if given != p:  # paths stay as they were given
+            rows = rows.withColumn("path", F.concat(F.lit(given.rstrip("/")), F.substring("path", len(p) + 1, 1 << 20)))
         found = found.unionByName(rows)
     found = text.wanted(found, max_bytes=max_bytes, extensions=list(extensions) if extensions is not None else None, exclude=list(exclude))
     found = found.dropDuplicates(["path"]) if len(paths) > 1 else found
@@ -57,10 +60,10 @@ def from_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                     with open(p, encoding="utf-8", newline="") as f:
                         body = f.read()
                     s = os.stat(p)
-                    rows.append((p, body, s.st_size, pd.Timestamp(s.st_mtime, unit="s")))
+                    rows.append((p, body, s.st_size, pd.Timestamp(s.st_mtime_ns // 1000, unit="us")))
                 except (OSError, UnicodeDecodeError):
                     continue
-            yield pd.DataFrame(rows, columns=["path", "content", "size_bytes", "modified_time"])
+            yield pd.DataFrame(rows, columns=["path", "content", "size_bytes", "modified_time"]).astype({"modified_time": "datetime64[us]"})
 
     return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(load, SCHEMA)
 
