@@ -75,7 +75,10 @@ def _placed(docs: DataFrame, block_words: int, **targets) -> tuple[DataFrame, Da
 
 
 def draws(sources: DataFrame, shard_slots: int = 65536, seed: int = 11) -> DataFrame:
-    """(shard, slot, sid, block, pass): every slot of every output shard and the block it takes. slot orders a shard."""
+    """(shard, slot, sid, block, pass): every slot of every output shard and the block it takes. slot orders a shard.
+
+    The planner takes this for as small as the table of sources that it is made from: join it with a merge hint.
+    """
     chunks = sources.where("draws > 0").select("sid", "blocks", "draws", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / CHUNK).cast("long"))).alias("chunk"))
     every = chunks.repartition("sid", "chunk").select("sid", "blocks", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("draws")) - 1)).alias("g"))
     shards = F.lit(max(1, -(-(sources.agg(F.sum("draws")).first()[0] or 0) // shard_slots)))
@@ -99,7 +102,7 @@ def taken(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     """(doc_id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted."""
     placed, sources = _placed(stash(_sized(docs, doc_id, text, source), "sizes"), block_words, **targets)
     placed = stash(placed, "placed")
-    got = pieces(placed, block_words).join(draws(sources), ["sid", "block"]).groupBy("rid").agg(F.sum("words").alias("taken"))
+    got = pieces(placed, block_words).join(draws(sources).hint("merge"), ["sid", "block"]).groupBy("rid").agg(F.sum("words").alias("taken"))
     out = placed.join(got, "rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     whole = stash(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
     held = whole.select("rid", *[F.col("row")[c].alias(n) for c, n in ((doc_id, "doc_id"), (source, "source"))], F.regexp_count(text_of("row." + text), F.lit(WORD)).cast("long").alias("size"))
     placed, sources = _placed(stash(held.withColumn("source", F.col("source").cast("string")), "sizes"), block_words, **targets)
-    got = pieces(placed, block_words).join(draws(sources), ["sid", "block"])
+    got = pieces(placed, block_words).join(draws(sources).hint("merge"), ["sid", "block"])
     got = got.groupBy("rid", "pass").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
     rows = whole.join(got, "rid")
     body = text_of("row." + text)
