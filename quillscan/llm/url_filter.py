@@ -137,7 +137,7 @@ r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/
   WHEN contains('.' || host, '.casino') OR contains(path, '.casino') THEN '*.casino*'
   WHEN contains('.' || host, '.porn') OR contains(path, '.porn') THEN '*.porn*'
   WHEN contains(path, '/wp-login.php') THEN '*/wp-login.php*'
-  WHEN contains(path, '/cgi-bin/') THEN '*/cgi-bin/*' END AS glob FROM p)
+  WHEN contains(path, '/cgi-bin/') THEN '*/cgi-bin/*' END AS "glob" FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, glob FROM r
+  WHEN r."glob" IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, r."glob" FROM r
 """
