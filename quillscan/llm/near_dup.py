@@ -8,12 +8,15 @@ probability Jaccard similarity. A text's arrivals are taken round by round, and
 shingle stops as soon as its next arrival is later than all registers' minima.
 
 K = 96 registers make 24 bands of 4; at a similarity of 0.8 a pair shares none
-of them with a chance of 3e-6. Texts that share a band's value are candidates:
-in groups of up to SMALL all pairs are, in larger ones every text with the
-group's first. Texts that prove different from that first are grouped again by
-that value together with each other band's, up to ROUNDS times, so that no group
-is ever paired in full. A candidate is a link if the exact Jaccard similarity of
-the two sets is 0.8 or more.
+of them with a chance of 3e-6. Texts that share a band's value are candidates. A
+candidate is a link if the exact Jaccard similarity of the two sets is 0.8 or
+more. In groups of up to SMALL all pairs are tested, in larger ones every text
+with the group's first, which mostly leaves one class there. Where several are
+left, the group is dealt into blocks of about BLOCK texts, and cells (two blocks)
+compare the registers: first each text is tested with the most alike text of
+another class in every cell, then all pairs that are still in different classes
+and agree in half of the registers. So a pair goes untested only if it is in one
+class already or its registers rule it out (at 0.8 by more than 7 deviations).
 
 Equal texts are one node from the start, by a 128-bit hash of the text. Classes
 are the connected components of the links, found by smallest labels with
@@ -38,7 +41,7 @@ from quillscan.llm.common import SPACE, ship, stash, text_of
 
 WORDS, THRESHOLD = 5, (4, 5)
 REGISTERS, ROWS = 96, 4
-SMALL, ROUNDS = 32, 4
+SMALL, BLOCK = 32, 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = None
@@ -148,10 +151,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b, text_a, text_b) to (key, a, b, link)."""
+    """(a, b, text_a, text_b) to (a, b, link)."""
     up, down = THRESHOLD
     for batch in batches:
-        left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         size = [len(x) + len(y) for x, y in zip(left, right)]
         at = 0
         while at < len(size):
@@ -169,49 +172,82 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, j in zip(x, y):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 link.append(bool(both) and down * both >= up * (len(sets[i]) + len(sets[j]) - both))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, end - at) for c in range(3)], pa.array(link)], ["key", "a", "b", "link"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, end - at) for c in range(2)], pa.array(link)], ["a", "b", "link"])
             at = end
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """members (key, node), several of a key. (key, a, b, star): all pairs of small groups, the first with each of large ones."""
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, link) of pairs (a, b)."""
+    body = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
+    both = pairs.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_verified, "a long, b long, link boolean")
+
+
+def _cell(whole: bool):
+    """The pairs of a cell in different classes that agree in half of the registers: all, or for each text the most alike."""
+
+    def work(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        block = np.asarray(held["block"])
+        node, label = np.asarray(held["node"]), np.asarray(held["label"])
+        sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), "<u4").reshape(len(node), -1)
+        rows, columns = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        left, right = [], []
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            alike = np.zeros((len(part), len(columns)), "i2")
+            for r in range(sketch.shape[1]):
+                alike += sketch[part, r][:, None] == sketch[columns, r]
+            alike[label[part][:, None] == label[columns]] = 0
+            near = 2 * alike >= sketch.shape[1]
+            if not whole and near.size:
+                best = np.zeros_like(near)
+                best[np.arange(len(part)), alike.argmax(1)] = True
+                best[alike.argmax(0), np.arange(len(columns))] = True
+                near &= best
+            x, y = np.nonzero(near)
+            left.append(node[part[x]])
+            right.append(node[columns[y]])
+        a, b = (np.concatenate([np.zeros(0, "i8"), *side]) for side in (left, right))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return work
+
+
+def _across(members: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
+    """(a, b): pairs between different classes in the groups of members (key, node, label, blocks)."""
+    held = members.join(nodes.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "sketch")
+    return held.groupBy("key", "i", "j").applyInArrow(_cell(whole), "a long, b long").distinct()
+
+
+def settled(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of the classes with links. nodes: (node, bands, sketch); texts: (node, text), read for candidates only."""
+    members = nodes.select("node", F.explode("bands").alias("key"))
     groups = stash(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "groups")
     held = stash(members.join(groups, "key"), "members")
     small = held.where(F.col("n") <= SMALL).select("key", "node")
-    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b")
-    stars = held.where((F.col("n") > SMALL) & (F.col("node") != F.col("first"))).select("key", F.col("first").alias("a"), F.col("node").alias("b"))
-    return pairs.select("key", "a", "b", F.lit(False).alias("star")).unionByName(stars.select("key", "a", "b", F.lit(True).alias("star")))
-
-
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of verified links. nodes: (node, bands, sketch); texts: (node, text), read for candidates only."""
-    spark = nodes.sparkSession
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    proved = None
-    for turn in range(ROUNDS + 1):
-        found = stash(_candidates(members), f"candidates{turn}")
-        fresh = found.groupBy("a", "b").agg(F.max("star").alias("star"))
-        if proved is not None:
-            fresh = fresh.join(proved.select("a", "b"), ["a", "b"], "left_anti")
-        # registers that agree tell most false candidates without their texts: at 0.8 fewer than 48 of 96 is beyond 7 deviations
-        side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
-        near = fresh.join(side("a"), "a").join(side("b"), "b")
-        near = near.withColumn("near", _agreeing("sa", "sb") * 2 >= REGISTERS).select("a", "b", "near", "star")
-        near = stash(near, f"near{turn}")
-        body = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
-        both = near.where("near").select(F.lit(0).cast("long").alias("key"), "a", "b").join(body("b"), "b").join(body("a"), "a").select("key", "a", "b", "ta", "tb")
-        checked = both.mapInArrow(_verified, "key long, a long, b long, link boolean").select("a", "b", "link")
-        checked = stash(checked.unionByName(near.where("not near").select("a", "b", F.lit(False).alias("link"))), f"checked{turn}")
-        proved = checked if proved is None else proved.unionByName(checked)
-        if turn == ROUNDS:
-            break
-        # those of a large group that are unlike its first are grouped again, by this value and each of their other bands
-        apart = stash(found.where("star").join(proved.where("not link"), ["a", "b"], "left_semi").select("key", F.col("b").alias("node")), f"apart{turn}")
-        if apart.isEmpty():
+    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+    stars = held.where((F.col("n") > SMALL) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
+    # registers that agree tell most false candidates without their texts: at 0.8 fewer than 48 of 96 is beyond 7 deviations
+    near = pairs.unionByName(stars).distinct().join(side("a"), "a").join(side("b"), "b").where(_agreeing("sa", "sb") * 2 >= REGISTERS)
+    proved = stash(_checked(stash(near.select("a", "b"), "near"), texts), "checked")
+    labels = components(proved.where("link"))
+    large = held.where(F.col("n") > SMALL)
+    for whole in (False, True):
+        named = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        several = stash(several, "several")
+        if several.isEmpty():
             break
-        again = apart.join(nodes.select("node", "bands"), "node").select("node", "key", F.explode("bands").alias("band"))
-        members = again.select("node", F.xxhash64("key", "band", F.lit(turn)).alias("key"))
-    return proved.where("link").select("a", "b").distinct() if proved is not None else spark.createDataFrame([], "a long, b long")
+        rest = named.join(several, "key", "left_semi").select("key", "node", "label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        fresh = _across(rest, nodes, whole).join(proved.select("a", "b"), ["a", "b"], "left_anti")
+        more = stash(_checked(stash(fresh, f"across{int(whole)}"), texts), f"checked{int(whole)}")
+        proved = proved.unionByName(more)
+        if not more.where("link").isEmpty():
+            labels = components(proved.where("link"))
+    return labels
 
 
 def _agreeing(a: str, b: str):
@@ -254,7 +290,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     wanted = stash(nodes.select("node", "h", "rep").join(paired, "node", "left_semi"), "wanted")
     held = rows.join(wanted, (rows["h"] == wanted["h"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
     texts = stash(held.dropDuplicates(["node"]), "texts")
-    found = components(links(nodes.select("node", "bands", "sketch"), texts))
+    found = settled(nodes.select("node", "bands", "sketch"), texts)
     known = nodes.select("node", "h", "rep", "copies").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = stash(known, "known")
     sizes = stash(known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), "classes")

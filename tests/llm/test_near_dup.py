@@ -64,6 +64,25 @@ def test_chains_and_large_groups(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == brute(rows)
 
 
+def test_copies_that_only_their_source_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 30)  # several blocks in a group
+    random.seed(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for cluster in range(3):  # copies like their source and unlike each other, in groups beyond SMALL
+        seed = [random.choice(words) for _ in range(200)]
+        rows.append((1000 * cluster + 90, " ".join(seed)))
+        for i in range(80):
+            t = list(seed)
+            for at in random.sample(range(10, 190), 3):
+                t[at] = f"x{cluster}.{i}"
+            rows.append((1000 * cluster + i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert len(set(want.values())) == 3
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     a = {int(x): float(w) for x, w in zip(rng.integers(1, 2**63, 80), rng.uniform(0.5, 4, 80))}
