@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import ship, stash
+from quillscan.llm.common import sampled, ship, stash
 
 
 @dataclass
@@ -103,7 +103,7 @@ def build_index(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     if not size:
         return vectors.sparkSession.createDataFrame([], schema), None
     rows = rows.where(F.size("vec") == size[0]["d"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow()["vec"].combine_chunks()
+    sample = sampled(rows, F.xxhash64("vec_id"), sample_rows).select("vec").toArrow()["vec"].combine_chunks()
     books = fit(np.asarray(sample.flatten(), "f4").reshape(len(sample), -1), **fitting)
 
     def work(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import ship, stash
+from quillscan.llm.common import sampled, ship, stash
 
 BUCKETS, EVIDENCE, PRIOR = 1 << 14, 60.0, 5.0
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
@@ -68,7 +68,7 @@ def visible(html: str) -> str:
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 4096) -> TextModel:
     labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l IS NOT NULL AND length(t) > 0")
-    rows = labelled.orderBy(F.xxhash64("t"), "l").limit(sample_rows).toArrow()
+    rows = sampled(labelled, F.xxhash64("t", "l"), sample_rows).toArrow()
     if not rows.num_rows:
         raise ValueError("no labelled rows")
     names = rows["l"].to_pylist()

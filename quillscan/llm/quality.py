@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 A rule is a condition on a document that rejects it. On a sample (the
-sample_rows documents with the smallest hashes of their texts) each rule's cost
+sample_rows different texts with the smallest hashes) each rule's cost
 is timed and its rejections are counted; rules then run in descending order of
 rejections per cost, and a document leaves at the first that rejects it. The
 order changes the time, never the verdict.
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import SPACE, WORD, stash, text_of
+from quillscan.llm.common import SPACE, WORD, sampled, stash, text_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -86,7 +86,7 @@ RULES = (
 
 def ordered(docs: DataFrame, *, text: str = "text", rules: Sequence = RULES, sample_rows: int = 1024) -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds), in the order in which the cascade runs them."""
-    sample = stash(docs.select(text_of(text).alias("t")).orderBy(F.xxhash64("t")).limit(sample_rows), "sample")
+    sample = stash(sampled(docs.select(text_of(text).alias("t")), F.xxhash64("t"), sample_rows), "sample")
     sample = sample.cache()
     try:
         n = sample.count()
