@@ -13,10 +13,10 @@ candidate is a link if the exact Jaccard similarity of the two sets is 0.8 or
 more. In groups of up to SMALL all pairs are tested, in larger ones every text
 with the group's first, which mostly leaves one class there. Where several are
 left, the group is dealt into blocks of about BLOCK texts, and cells (two blocks)
-compare the registers: first each text is tested with the most alike text of
-another class in every cell, then all pairs that are still in different classes
-and agree in half of the registers. So a pair goes untested only if it is in one
-class already or its registers rule it out (at 0.8 by more than 7 deviations).
+look at all pairs in different classes: first at the registers, which rule out
+texts that agree with none of another class in half of them (at 0.8 that is
+beyond 7 deviations), then at the shingles of what remains, exactly. A cell
+returns one row for each text at most, so no group's pairs are ever written out.
 
 Equal texts are one node from the start, by a 128-bit hash of the text. Classes
 are the connected components of the links, found by smallest labels with
@@ -183,42 +183,84 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a long, b long, link boolean")
 
 
-def _cell(whole: bool):
-    """The pairs of a cell in different classes that agree in half of the registers: all, or for each text the most alike."""
-
-    def work(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-        block = np.asarray(held["block"])
-        node, label = np.asarray(held["node"]), np.asarray(held["label"])
-        sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), "<u4").reshape(len(node), -1)
-        rows, columns = (np.flatnonzero(block == k.as_py()) for k in key[1:])
-        left, right = [], []
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            alike = np.zeros((len(part), len(columns)), "i2")
-            for r in range(sketch.shape[1]):
-                alike += sketch[part, r][:, None] == sketch[columns, r]
-            alike[label[part][:, None] == label[columns]] = 0
-            near = 2 * alike >= sketch.shape[1]
-            if not whole and near.size:
-                best = np.zeros_like(near)
-                best[np.arange(len(part)), alike.argmax(1)] = True
-                best[alike.argmax(0), np.arange(len(columns))] = True
-                near &= best
-            x, y = np.nonzero(near)
-            left.append(node[part[x]])
-            right.append(node[columns[y]])
-        a, b = (np.concatenate([np.zeros(0, "i8"), *side]) for side in (left, right))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return work
-
-
-def _across(members: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
-    """(a, b): pairs between different classes in the groups of members (key, node, label, blocks)."""
+def _sides(key: tuple[pa.Scalar, ...], held: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes, labels, and the places of the rows of a cell's two blocks."""
+    block = np.asarray(held["block"])
+    return np.asarray(held["node"]), np.asarray(held["label"]), *[np.flatnonzero(block == k.as_py()) for k in key[1:]]
+
+
+def _promising(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+    """The rows of a cell whose registers agree in half with those of a text of another class."""
+    _, label, rows, columns = _sides(key, held)
+    sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), "<u4").reshape(len(label), -1)
+    stay = np.zeros(len(label), bool)
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        alike = np.zeros((len(part), len(columns)), "i2")
+        for r in range(sketch.shape[1]):
+            alike += sketch[part, r][:, None] == sketch[columns, r]
+        near = (2 * alike >= sketch.shape[1]) & (label[part][:, None] != label[columns])
+        stay[part] |= near.any(1)
+        stay[columns] |= near.any(0)
+    return held.drop_columns("sketch").filter(pa.array(stay))
+
+
+def common_counts(doc: np.ndarray, value: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int, at_once: int = 2048) -> np.ndarray:
+    """(rows, columns): how many values two documents share. doc, value: distinct pairs, by document."""
+    _, first, which, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+    place = np.empty(len(first), "i8")
+    place[np.argsort(first, kind="stable")] = np.arange(len(first))  # values that start in one document lie together
+    shared = count[which] > 1
+    doc, spot = doc[shared], place[which[shared]]
+    order = np.argsort(spot, kind="stable")
+    doc, spot = doc[order], spot[order]
+    _, spot = np.unique(spot, return_inverse=True)
+    both = np.zeros((len(rows), len(columns)), "i4")
+    of_row, of_column = np.full(n, -1), np.full(n, -1)
+    of_row[rows], of_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+    for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, at_once):
+        a, b = np.searchsorted(spot, (low, low + at_once))
+        sides = []
+        for where in (of_row, of_column):
+            at = where[doc[a:b]]
+            there, number = np.unique(at[at >= 0], return_inverse=True)
+            dense = np.zeros((len(there), at_once), "f4")
+            dense[number, spot[a:b][at >= 0] - low] = 1
+            sides.append((there, dense))
+        (r, x), (c, y) = sides
+        both[np.ix_(r, c)] += (x @ y.T).astype("i4")
+    return both
+
+
+def _joined(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+    """(a, b): nodes of a cell that a chain of links between its classes connects, each with the first of its chain."""
+    node, label, rows, columns = _sides(key, held)
+    texts, found = held["text"].to_pylist(), []
+    for a, b in tok.portions(texts, 4_000_000):
+        doc, value, _ = shingles(texts[a:b])
+        found.append((doc + a, value))
+    doc, value = (np.concatenate(x) for x in zip(*found))
+    size, (up, down) = np.bincount(doc, minlength=len(node)), THRESHOLD
+    both = common_counts(doc, value, rows, columns, len(node))
+    link = (both > 0) & (down * both >= up * (size[rows][:, None] + size[columns] - both)) & (label[rows][:, None] != label[columns])
+    x, y = np.nonzero(link)
+    x, y, low = rows[x], columns[y], np.arange(len(node))
+    while (low[x] != low[y]).any():
+        least = np.minimum(low[x], low[y])
+        np.minimum.at(low, x, least)
+        np.minimum.at(low, y, least)
+    moved = np.flatnonzero(low != np.arange(len(node)))
+    return pa.table({"a": node[low[moved]], "b": node[moved]})
+
+
+def _across(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), to be joined: from all pairs in different classes of the groups of members (key, node, label, blocks)."""
     held = members.join(nodes.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = held.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "sketch")
-    return held.groupBy("key", "i", "j").applyInArrow(_cell(whole), "a long, b long").distinct()
+    kept = "key long, i long, j long, node long, label long, block long"
+    held = stash(held.groupBy("key", "i", "j").applyInArrow(_promising, kept), "promising")
+    return held.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_joined, "a long, b long").distinct()
 
 
 def settled(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,22 +274,16 @@ def settled(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
     # registers that agree tell most false candidates without their texts: at 0.8 fewer than 48 of 96 is beyond 7 deviations
     near = pairs.unionByName(stars).distinct().join(side("a"), "a").join(side("b"), "b").where(_agreeing("sa", "sb") * 2 >= REGISTERS)
-    proved = stash(_checked(stash(near.select("a", "b"), "near"), texts), "checked")
-    labels = components(proved.where("link"))
-    large = held.where(F.col("n") > SMALL)
-    for whole in (False, True):
-        named = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        several = stash(several, "several")
-        if several.isEmpty():
-            break
-        rest = named.join(several, "key", "left_semi").select("key", "node", "label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-        fresh = _across(rest, nodes, whole).join(proved.select("a", "b"), ["a", "b"], "left_anti")
-        more = stash(_checked(stash(fresh, f"across{int(whole)}"), texts), f"checked{int(whole)}")
-        proved = proved.unionByName(more)
-        if not more.where("link").isEmpty():
-            labels = components(proved.where("link"))
-    return labels
+    proved = stash(_checked(stash(near.select("a", "b"), "near"), texts).where("link").select("a", "b"), "links")
+    labels = components(proved)
+    named = held.where(F.col("n") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    several = stash(several, "several")
+    if several.isEmpty():
+        return labels
+    rest = named.join(several, "key", "left_semi").select("key", "node", "label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    more = stash(_across(rest, nodes, texts), "across")
+    return labels if more.isEmpty() else components(proved.unionByName(more))
 
 
 def _agreeing(a: str, b: str):

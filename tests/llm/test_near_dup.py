@@ -83,6 +83,17 @@ def test_copies_that_only_their_source_links(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
 
 
+def test_common_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(0, 300))).astype("u8") for _ in range(60)]
+    doc, value = np.repeat(np.arange(60), [len(x) for x in sets]), np.concatenate(sets)
+    rows, columns = np.arange(0, 60, 2), np.arange(60)
+    for at_once in (7, 2048):
+        found = near_dup.common_counts(doc, value, rows, columns, 60, at_once)
+        assert found.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in columns] for i in rows]
+    assert near_dup.common_counts(doc[:0], value[:0], rows, columns, 60).sum() == 0
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     a = {int(x): float(w) for x, w in zip(rng.integers(1, 2**63, 80), rng.uniform(0.5, 4, 80))}
