@@ -42,6 +42,7 @@ from quillscan.llm.common import SPACE, ship, stash, text_of
 WORDS, THRESHOLD = 5, (4, 5)
 REGISTERS, ROWS = 96, 4
 SMALL, BLOCK = 32, 1024
+BITS, BITMAP = 1 << 26, 32768  #: of the filter of texts, and of one of its rows (a fixed value of Spark's bitmaps)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = None
@@ -310,6 +311,22 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the labels did not settle")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose h is in wanted, and a share of the others: count of wanted / BITS.
+
+    What is broadcast is a bitmap of BITS bits at most, whatever the input's
+    size. It keeps texts without candidates out of the shuffle; where it is full
+    it only loses its effect.
+    """
+    spot = F.pmod(F.xxhash64("h"), F.lit(BITS)).cast("long")
+    marks = wanted.select(F.pmod(F.xxhash64("of"), F.lit(BITS)).cast("long").alias("spot")).select(F.floor(F.col("spot") / BITMAP).alias("bucket"), (F.col("spot") % BITMAP).alias("bit"))
+    maps = stash(marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmap")
+    found = rows.withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / BITMAP)).join(F.broadcast(maps), "bucket")
+    bit = (F.col("spot") % BITMAP).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of a document's class, kept holds for one row of it."""
     ship(docs.sparkSession)
@@ -323,8 +340,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     keys = nodes.select("node", F.explode("bands").alias("key"))
     common = stash(keys.groupBy("key").count().where("count > 1").select("key"), "common")
     paired = stash(keys.join(common, "key", "left_semi").select("node").distinct(), "paired")
-    wanted = stash(nodes.select("node", "h", "rep").join(paired, "node", "left_semi"), "wanted")
-    held = rows.join(wanted, (rows["h"] == wanted["h"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
+    wanted = stash(nodes.select("node", F.col("h").alias("of"), "rep").join(paired, "node", "left_semi"), "wanted")
+    held = _likely(rows, wanted).join(wanted, (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = stash(held.dropDuplicates(["node"]), "texts")
     found = settled(nodes.select("node", "bands", "sketch"), texts)
     known = nodes.select("node", "h", "rep", "copies").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))

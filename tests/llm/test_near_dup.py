@@ -83,6 +83,13 @@ def test_copies_that_only_their_source_links(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
 
 
+def test_filter_of_texts_keeps_what_is_wanted(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "unhex(md5(string(id))) AS h")
+    wanted = rows.where("doc_id % 7 = 0").selectExpr("h AS of", "doc_id AS rep")
+    found = {r[0] for r in near_dup._likely(rows, wanted).select("doc_id").collect()}
+    assert found >= set(range(0, 3000, 7)) and len(found) < 500
+
+
 def test_common_counts():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 900, rng.integers(0, 300))).astype("u8") for _ in range(60)]
