@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscan.llm import tok
-from quillscan.llm.common import ship, text_of
+from quillscan.llm.common import ship, stash, text_of
 
 BLOCK = 1024
 
@@ -52,6 +52,7 @@ def with_suffix_sums(hist: DataFrame) -> DataFrame:
     tokens_upto         tokens of those
     truncated_total     tokens that are left if each document is cut to L
     """
+    hist = stash(hist, "histogram")  # read twice below, made once
     rows = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).cast("long").alias("block"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
