@@ -35,6 +35,19 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_at_the_registered_parameters(spark):
+    x = np.random.default_rng(1).standard_normal((4096, 64)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, books = ann.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    found = ann.search(index, books, index.where("vec_id % 20 = 0").select("vec_id", "vec")).collect()
+    asked = np.arange(0, 4096, 20)
+    score = x[asked].astype("f8") @ x.T.astype("f8")
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = {(int(q), int(i)) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :20]) for i in row}
+    assert len(found) == len(best)
+    assert len(best & {(r["query_id"], r["vec_id"]) for r in found}) / len(best) >= 0.97
+
+
 def test_no_usable_vector(spark):
     rows = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     index, books = ann.build_index(rows)
