@@ -12,9 +12,11 @@ Fisher's method joins the three to one p-value.
 Structured text (identifiers, paths, dates) has small p-values. Within strata of
 encoding and length (powers of two), the Benjamini-Hochberg procedure over all
 candidates of the corpus declares which are structured, with a false-discovery
-rate of q; the rest look random and become spans of kind random. p-values are
-counted in bins of 1 / BINS, so the procedure needs one small histogram, never
-the candidates in one place.
+rate of q; the rest look random and become spans of kind random. A p-value above
+q is never declared structured, so uniform tokens are lost with a chance of about
+q, however many structured ones the corpus holds. p-values are counted in bins on
+a logarithmic scale, so the procedure needs one small histogram, never the
+candidates in one place.
 
 Null texts count as empty; repeated rows are scanned each; empty texts have no
 spans; an empty table gives no rows. Offsets count code points, ends excluded.
@@ -37,7 +39,8 @@ RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN
 #: What a text must hold for a pattern to be tried on it. A run of hexadecimal digits that is long enough matches whole, so its guard can serve as the pattern.
 GUARDS = {"assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": RUN}
 ORDER = ("assign", "access", "hex", "random")
-BINS = 1000
+#: Bins of p-values: so many to a power of ten, down to 10 ** -DECADES.
+STEPS, DECADES = 20, 20
 #: Encodings, their alphabets.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -115,16 +118,21 @@ def randomness(token: Column, kind: Column) -> Column:
     return once(once(F.struct(plain.alias("t"), alphabet.alias("a"), letters.alias("c")), tests), fisher)
 
 
-def structured_limits(candidates: DataFrame, q: float = 0.2) -> dict[tuple[str, int], int]:
+def _bin(p: Column) -> Column:
+    """The bin of a p-value; its upper end is 10 ** ((bin + 1) / STEPS - DECADES)."""
+    return F.floor((F.log10(F.greatest(p, F.lit(10.0**-DECADES))) + DECADES) * STEPS).cast("int")
+
+
+def structured_limits(candidates: DataFrame, q: float = 0.01) -> dict[tuple[str, int], int]:
     """For each stratum (encoding, log2 of the length), the largest bin of p-values that is declared structured. At most 4 x 31 strata."""
     bins = candidates.groupBy("encoding", "scale", "bin").count()
     by = Window.partitionBy("encoding", "scale")
     bins = bins.withColumn("m", F.sum("count").over(by)).withColumn("upto", F.sum("count").over(by.orderBy("bin")))
-    passed = bins.where((F.col("bin") + 1) / BINS * F.col("m") <= q * F.col("upto"))
+    passed = bins.where(F.pow(F.lit(10.0), (F.col("bin") + 1) / STEPS - DECADES) * F.col("m") <= q * F.col("upto"))
     return {(r["encoding"], r["scale"]): r["bin"] for r in passed.groupBy("encoding", "scale").agg(F.max("bin").alias("bin")).collect()}
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: float = 0.2) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: float = 0.01) -> DataFrame:
     """The columns in keep, and spans: array<struct<start, rank, end, kind>> in order of start, then kind (rank 0 to 3)."""
     body = text_of(text)
     hits = F.concat(*[_hits(body, *kind) for kind in (*BASE, ("random", RUN, 0, MIN_TOKEN))])
@@ -144,7 +152,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: fl
     bare = F.regexp_replace("token", "=+$", "")
     kind = F.when(~base, encoding(bare))
     each = each.withColumn("encoding", kind).where(base | F.col("encoding").isNotNull())
-    each = each.withColumn("bin", F.when(~base, F.least(F.floor(randomness(bare, F.col("encoding")) * BINS), F.lit(BINS - 1)).cast("int"))).withColumn("scale", F.floor(F.log2("n")).cast("int"))
+    each = each.withColumn("bin", F.when(~base, _bin(randomness(bare, F.col("encoding"))))).withColumn("scale", F.floor(F.log2("n")).cast("int"))
     each = stash(each.select("rid", "kind", "start", "end", "encoding", "scale", "bin"), "spans")
     limits = structured_limits(each.where("kind = 'random'"), q)
     structured = F.lit(False)

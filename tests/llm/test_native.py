@@ -103,6 +103,17 @@ def test_uniform_tokens_have_uniform_p_values(spark):
     assert all(r[0] < 0.05 for r in odd.select(secrets.randomness(F.col("t"), F.col("k"))).collect()[:1])
 
 
+def test_structured_tokens_do_not_hide_random_ones(spark):
+    import random
+
+    random.seed(6)
+    token = lambda: "q7" + "".join(random.choice(secrets.ALPHABETS["base36"]) for _ in range(27))
+    rows = [(i, token()) for i in range(400)] + [(1000 + i, f"user{i:06d}session{i:06d}abcdef") for i in range(3600)]
+    found = {r["id"] for r in secrets.scan(spark.createDataFrame(rows, "id long, text string"), keep=["id"]).where("size(spans) > 0").collect()}
+    assert len(found & set(range(400))) >= 0.97 * 400
+    assert not found - set(range(400))
+
+
 def figures(text):
     w = WORD.findall(text)
     grams = Counter(zip(w, w[1:], w[2:]))
