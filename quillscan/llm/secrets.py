@@ -3,8 +3,9 @@
 Three patterns give the base spans: assignments to names such as password,
 access keys, and long hexadecimal runs. Beside these, every run of at least
 MIN_TOKEN key characters that overlaps no base span and mixes digits with
-letters is a candidate. Its encoding is inferred (hex, base32, base36, base64),
-and under the hypothesis that its symbols are independent and uniform over that
+letters is a candidate. Its encoding is inferred (hex, base32, base36, base64);
+separators (- _ + /) are symbols of base64 only, which is for tokens that mix
+upper with lower case, and are left out of the tests of all others. Under the hypothesis that its symbols are independent and uniform over that
 alphabet three tests are taken: chi-squared for uniformity, the number of runs
 above and below the middle of the alphabet, and serial correlation at lag one.
 Fisher's method joins the three to one p-value.
@@ -14,7 +15,8 @@ encoding and length (powers of two), the Benjamini-Hochberg procedure over all
 candidates of the corpus declares which are structured, with a false-discovery
 rate of q; the rest look random and become spans of kind random. A p-value above
 q is never declared structured, so uniform tokens are lost with a chance of about
-q, however many structured ones the corpus holds. p-values are counted in bins on
+q, however many structured ones the corpus holds. The tests tell little of few
+symbols, so short slugs with digits can pass for random. p-values are counted in bins on
 a logarithmic scale, so the procedure needs one small histogram, never the
 candidates in one place.
 
@@ -38,6 +40,7 @@ MIN_TOKEN = 20
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN
 #: What a text must hold for a pattern to be tried on it. A run of hexadecimal digits that is long enough matches whole, so its guard can serve as the pattern.
 GUARDS = {"assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "random": RUN}
+SEPARATORS = "_+/-"
 ORDER = ("assign", "access", "hex", "random")
 #: Bins of p-values: so many to a power of ten, down to 10 ** -DECADES.
 STEPS, DECADES = 20, 20
@@ -65,14 +68,14 @@ def _hits(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
 
 def encoding(token: Column) -> Column:
-    """The smallest alphabet that a token mixing digits and letters fits, else null."""
+    """The smallest alphabet that a token mixing digits and letters fits, separators aside; null for other tokens."""
     digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
     return (
         F.when(~digit | ~(lower | upper), None)
-        .when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(token.rlike("^[0-9a-z]+$"), "base36")
         .when(lower & upper, "base64")
+        .when(token.rlike(f"^(?:[0-9a-f{SEPARATORS}]+|[0-9A-F{SEPARATORS}]+)$"), "hex")
+        .when(token.rlike(f"^[A-Z2-7{SEPARATORS}]+$"), "base32")
+        .otherwise("base36")
     )
 
 
@@ -89,7 +92,8 @@ def _upper(z: Column) -> Column:
 def randomness(token: Column, kind: Column) -> Column:
     """The joint p-value of the three tests, under independent uniform symbols of the alphabet."""
     alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[kind]
-    plain = F.when(kind == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+    bare = F.regexp_replace(token, f"[{SEPARATORS}]", "")
+    plain = F.when(kind == "base64", F.translate(token, "-_", "+/")).when(kind == "base32", bare).otherwise(F.lower(bare))
     once = lambda value, f: F.transform(F.array(value), f)[0]
 
     def tests(x: Column) -> Column:

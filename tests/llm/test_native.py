@@ -114,6 +114,13 @@ def test_structured_tokens_do_not_hide_random_ones(spark):
     assert not found - set(range(400))
 
 
+def test_every_mix_of_digits_and_letters_is_tested(spark):
+    tokens = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "Q8ZX7LM2VT9RK1WP3YB60NC5HD4JF", "A1B2C-3D4E5-F6G7H-8J9K0-L1M2N", "F47AC10B-58CC-4372-A567-0E02B2C3D479", "q8zx/7lm2+vt9rk1wp_3yb60nc5hd4jf"]
+    rows = [(i, f"see {t} there") for i, t in enumerate(tokens)] + [(100, "2024/01/02/12345678901234567890/x")]
+    got = {r["id"]: r["spans"] for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "id long, text string"), keep=["id"])).collect()}
+    assert got == {i: f"random:4:{4 + len(t)}" for i, t in enumerate(tokens)} | {100: ""}
+
+
 def figures(text):
     w = WORD.findall(text)
     grams = Counter(zip(w, w[1:], w[2:]))
