@@ -210,6 +210,15 @@ def match_wholefile(spark, sf):
     return match.match_whole(files(spark, sf), _WHOLE).select("path", "rule_id", "snippet")
 
 
+_WHOLE_ENDS = [r for r in SHIPPED if "$" in r.pattern]
+
+
+@query(f"{CTE}, d AS ({_det(_WHOLE_ENDS, True)}) SELECT path, rule_id, snippet FROM d")
+def match_wholefile_ends(spark, sf):
+    """The shipped rules that match_wholefile leaves out."""
+    return match.match_whole(files(spark, sf), _WHOLE_ENDS).select("path", "rule_id", "snippet")
+
+
 _TEST = f"({_CONTENT_CONF}) > 0.3::DOUBLE"
 _ADJ = "CASE WHEN NOT is_test THEN declared WHEN declared = 'Critical' THEN 'High' WHEN declared = 'High' THEN 'Medium' WHEN declared = 'Medium' THEN 'Low' ELSE 'Info' END"
 _SUPP = " OR ".join(f"contains(rule_id, '{x}')" for x in classify.SUPPRESSED)

@@ -17,6 +17,13 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_whole_file_queries_cover_all_shipped_rules():
+    from quillscan.plans import registry
+
+    assert sorted(r.id for r in registry._WHOLE + registry._WHOLE_ENDS) == sorted(r.id for r in registry.SHIPPED)
+    assert len(registry._WHOLE_ENDS) == 11 and "match_wholefile_ends" in QUERIES
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY])
 def test_query(spark, name):
     import duckdb
