@@ -1,10 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-Texts are sets of five-word shingles with weights (1 + ln of the count, so that a
-repeated line can't outweigh the rest). Each shingle is a Poisson process whose
-rate is its weight; every arrival falls on one of K registers, and a register
-keeps the shingle that comes first. Two texts agree in a register with their
-probability Jaccard similarity. A text's arrivals are taken round by round, and a
+Texts are sets of five-word shingles. Each shingle is a Poisson process whose rate
+is its weight; every arrival falls on one of K registers, and a register keeps the
+shingle that comes first. Two texts agree in a register with their probability
+Jaccard similarity. All weights are equal, however often a shingle repeats: then
+this is the Jaccard similarity of the sets, by which links are decided. A text's arrivals are taken round by round, and a
 shingle stops as soon as its next arrival is later than all registers' minima.
 
 K = 96 registers make 24 bands of 4; at a similarity of 0.8 a pair shares none
@@ -141,8 +141,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in tok.portions(texts, 4_000_000):
             number: dict[str, int] = {}
             which = np.array([number.setdefault(x, len(number)) for x in texts[a:b]], "i8")
-            doc, value, count = shingles(list(number))
-            kept = signatures(doc, value, 1 + np.log(count), len(number))
+            doc, value, _ = shingles(list(number))
+            kept = signatures(doc, value, np.ones(len(doc)), len(number))
             has = np.zeros(len(number), bool)
             has[doc] = True
             made, sketch = bands(kept)[which], (kept & np.uint64(0xFFFFFFFF)).astype("<u4")[which]

@@ -83,6 +83,17 @@ def test_copies_that_only_their_source_links(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
 
 
+def test_near_copies_with_unequal_repeats(spark):
+    rows = []
+    for i in range(60):  # one text of a pair repeats a quarter of its words many times
+        words = [f"w{i}.{j}" for j in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:25] * 1000 + words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len(set(want.values())) == 60
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
+
+
 def test_filter_of_texts_keeps_what_is_wanted(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "unhex(md5(string(id))) AS h")
     wanted = rows.where("doc_id % 7 = 0").selectExpr("h AS of", "doc_id AS rep")
