@@ -21,25 +21,51 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillscan-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Spark's setting by which the shuffle files of a query go as soon as it is done.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _where(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     The table survives the loss of executors, and its size is known to the
-    planner afterwards, which is what decides about broadcasts. The files go
-    when the session's file system closes.
+    planner afterwards, which is what decides about broadcasts. The shuffle
+    files of the write go at its end; the table goes with drop(), or when the
+    session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillscan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    system, at = _where(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        system, at = _where(df.sparkSession, df._stashed)
+        system.delete(at, True)
 
 
 def sampled(df: DataFrame, by: Column, rows: int) -> DataFrame:

@@ -8,40 +8,48 @@ this is the Jaccard similarity of the sets, by which links are decided. A text's
 shingle stops as soon as its next arrival is later than all registers' minima.
 
 K = 96 registers make 24 bands of 4; at a similarity of 0.8 a pair shares none
-of them with a chance of 3e-6. Texts that share a band's value are candidates. A
-candidate is a link if the exact Jaccard similarity of the two sets is 0.8 or
-more. In groups of up to SMALL all pairs are tested, in larger ones every text
-with the group's first, which mostly leaves one class there. Where several are
-left, the group is dealt into blocks of about BLOCK texts, and cells (two blocks)
-look at all pairs in different classes: first at the registers, which rule out
-texts that agree with none of another class in half of them (at 0.8 that is
-beyond 7 deviations), then at the shingles of what remains, exactly. A cell
-returns one row for each text at most, so no group's pairs are ever written out.
+of them with a chance of 3e-6. Texts that share a band's value are a group. Two
+of a group are a link if the exact Jaccard similarity of their sets is 0.8 or
+more; what differs too much in size (exact) or agrees in fewer than AGREE of the
+96 registers (at 0.8 a chance of 1e-7) is not looked at.
+
+First every text is compared with its groups' first, which mostly leaves one
+class in a group. Where several are left, pairs in different classes are looked
+at: in groups of up to SMALL in a join, in larger ones in cells. There a group is
+dealt into parts by size and blocks, and cells (two blocks) keep the texts whose
+registers fit one of another class; these are dealt again, and cells of about
+BLOCK texts compare their shingles, exactly. A cell returns one row for each text
+at most, so no group's pairs are ever written out.
 
 Equal texts are one node from the start, by a 128-bit hash of the text. Classes
 are the connected components of the links, found by smallest labels with
 shortcuts in tables of the shared folder.
 
 Null texts count as empty. Texts without words are similar only to equal ones;
-texts of one to four words have their words as their one shingle. Repeated rows
-are copies. An empty table gives no rows.
+texts of one to four words have their words as their one shingle. Texts are never
+cut, however long. Repeated rows are copies, and one row of a class stays, also
+where rows repeat an id. Ties (rows of the smallest id) go to the first row read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm import tok
-from quillscan.llm.common import SPACE, ship, stash, text_of
+from quillscan.llm.common import SPACE, drop, ship, stash, text_of
 
 WORDS, THRESHOLD = 5, (4, 5)
 REGISTERS, ROWS = 96, 4
-SMALL, BLOCK = 32, 1024
+AGREE = 54  #: registers in which the sides of a link agree, but for a chance of 1e-7
+SMALL, SKETCH_BLOCK, BLOCK = 32, 8192, 1024
 BITS, BITMAP = 1 << 26, 32768  #: of the filter of texts, and of one of its rows (a fixed value of Spark's bitmaps)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,20 +143,19 @@ def bands(kept: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text) to (doc_id, h, bands, sketch); a text's copies in a batch are computed once."""
+    """(at, doc_id, h, text) to (at, doc_id, h, size, bands, sketch); a text's copies in a batch are computed once."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
+        texts = batch.column(3).to_pylist()
         for a, b in tok.portions(texts, 4_000_000):
             number: dict[str, int] = {}
             which = np.array([number.setdefault(x, len(number)) for x in texts[a:b]], "i8")
             doc, value, _ = shingles(list(number))
             kept = signatures(doc, value, np.ones(len(doc)), len(number))
-            has = np.zeros(len(number), bool)
-            has[doc] = True
-            made, sketch = bands(kept)[which], (kept & np.uint64(0xFFFFFFFF)).astype("<u4")[which]
-            offsets = np.concatenate(([0], np.cumsum(np.where(has[which], made.shape[1], 0)))).astype("i4")
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[has[which]].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, pa.array([x.tobytes() for x in sketch], "binary")], ["doc_id", "h", "bands", "sketch"])
+            size = np.bincount(doc, minlength=len(number))
+            lists = lambda made, some: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(some[which], made.shape[1], 0)))).astype("i4")), pa.array(made[which][some[which]].ravel()))
+            sketch = np.ascontiguousarray((kept & np.uint64(0xFF)).astype("u1")).view("<i8")
+            columns = [*[batch.column(c).slice(a, b - a) for c in range(3)], pa.array(size[which], "int32"), lists(bands(kept), size > 0), lists(sketch, size >= 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "doc_id", "h", "size", "bands", "sketch"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,32 +185,53 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, link) of pairs (a, b)."""
+    """(a, b): the pairs (a, b) that are links."""
     body = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
     both = pairs.join(body("b"), "b").join(body("a"), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verified, "a long, b long, link boolean")
+    return both.mapInArrow(_verified, "a long, b long, link boolean").where("link").select("a", "b")
 
 
-def _sides(key: tuple[pa.Scalar, ...], held: pa.Table) -> tuple[np.ndarray, ...]:
-    """Nodes, labels, and the places of the rows of a cell's two blocks."""
-    block = np.asarray(held["block"])
-    return np.asarray(held["node"]), np.asarray(held["label"]), *[np.flatnonzero(block == k.as_py()) for k in key[1:]]
+def alike(a: Column, b: Column) -> Column:
+    """How many of the registers of two sketches agree (8 bits of each, 8 to a long): the zero bytes of a XOR b."""
+
+    def others(i: int) -> Column:
+        x = a[i].bitwiseXOR(b[i])
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
+
+    return F.lit(REGISTERS) - reduce(lambda x, y: x + y, [others(i) for i in range(REGISTERS // 8)])
+
+
+def _fits(a: str, b: str) -> Column:
+    """Whether two sides may be similar: by their sizes (exact), then by their registers."""
+    up, down = THRESHOLD
+    small, large = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
+    return (small * down >= large * up) & (alike(F.col(f"s{a}"), F.col(f"s{b}")) >= AGREE)
+
+
+def _sketches(held: pa.Table) -> np.ndarray:
+    """(rows, registers) of bytes."""
+    whole = held["sketch"].combine_chunks()
+    return np.ascontiguousarray(np.asarray(whole.flatten(), "<i8").reshape(len(whole), -1)).view("u1")
 
 
 def _promising(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-    """The rows of a cell whose registers agree in half with those of a text of another class."""
-    _, label, rows, columns = _sides(key, held)
-    sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), "<u4").reshape(len(label), -1)
+    """The rows of a cell (two blocks) whose registers agree in AGREE with those of a text of another class there."""
+    block, label = np.asarray(held["block"]), np.asarray(held["label"])
+    rows, columns = (np.flatnonzero(block == k.as_py()) for k in key[2:])
+    sketch = _sketches(held)
+    across = np.ascontiguousarray(sketch[columns].T)
     stay = np.zeros(len(label), bool)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
-        alike = np.zeros((len(part), len(columns)), "i2")
+        same = np.zeros((len(part), len(columns)), "u1")
         for r in range(sketch.shape[1]):
-            alike += sketch[part, r][:, None] == sketch[columns, r]
-        near = (2 * alike >= sketch.shape[1]) & (label[part][:, None] != label[columns])
+            same += sketch[part, r][:, None] == across[r]
+        near = (same >= AGREE) & (label[part][:, None] != label[columns])
         stay[part] |= near.any(1)
         stay[columns] |= near.any(0)
-    return held.drop_columns("sketch").filter(pa.array(stay))
+    return held.select(["key", "part", "node", "label"]).filter(pa.array(stay))
 
 
 def common_counts(doc: np.ndarray, value: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int, at_once: int = 2048) -> np.ndarray:
@@ -235,7 +263,8 @@ def common_counts(doc: np.ndarray, value: np.ndarray, rows: np.ndarray, columns:
 
 def _joined(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     """(a, b): nodes of a cell that a chain of links between its classes connects, each with the first of its chain."""
-    node, label, rows, columns = _sides(key, held)
+    block, node, label = (np.asarray(held[c]) for c in ("block", "node", "label"))
+    rows, columns = (np.flatnonzero(block == k.as_py()) for k in key[2:])
     texts, found = held["text"].to_pylist(), []
     for a, b in tok.portions(texts, 4_000_000):
         doc, value, _ = shingles(texts[a:b])
@@ -254,44 +283,58 @@ def _joined(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
     return pa.table({"a": node[low[moved]], "b": node[moved]})
 
 
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Deal the rows of every (key, part) into blocks of about so many, and copy each row to the cells (i, j) of its block with every other."""
+    count = stash(rows.groupBy("key", "part").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
+    rows = rows.join(count, ["key", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
 def _across(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), to be joined: from all pairs in different classes of the groups of members (key, node, label, blocks)."""
-    held = members.join(nodes.select("node", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    held = held.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "sketch")
-    kept = "key long, i long, j long, node long, label long, block long"
-    held = stash(held.groupBy("key", "i", "j").applyInArrow(_promising, kept), "promising")
-    return held.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_joined, "a long, b long").distinct()
-
-
-def settled(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label) of the classes with links. nodes: (node, bands, sketch); texts: (node, text), read for candidates only."""
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    groups = stash(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "groups")
-    held = stash(members.join(groups, "key"), "members")
-    small = held.where(F.col("n") <= SMALL).select("key", "node")
-    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
-    stars = held.where((F.col("n") > SMALL) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"))
-    # registers that agree tell most false candidates without their texts: at 0.8 fewer than 48 of 96 is beyond 7 deviations
-    near = pairs.unionByName(stars).distinct().join(side("a"), "a").join(side("b"), "b").where(_agreeing("sa", "sb") * 2 >= REGISTERS)
-    proved = stash(_checked(stash(near.select("a", "b"), "near"), texts).where("link").select("a", "b"), "links")
-    labels = components(proved)
-    named = held.where(F.col("n") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    several = stash(several, "several")
-    if several.isEmpty():
-        return labels
-    rest = named.join(several, "key", "left_semi").select("key", "node", "label", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    more = stash(_across(rest, nodes, texts), "across")
-    return labels if more.isEmpty() else components(proved.unionByName(more))
+    """(a, b), to be joined: from all pairs in different classes of the groups of members (key, node, label).
+
+    Texts whose sizes differ by more than a quarter are never similar. A group is
+    therefore dealt into parts by the logarithm of the size: part p holds the
+    sizes of classes p and p - 1, and what is similar meets in a part.
+    """
+    up, down = THRESHOLD
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(down / up)).cast("long")
+    held = members.join(nodes.select("node", "size", "sketch"), "node").withColumn("part", F.explode(F.array(step, step + 1)))
+    dealt = _cells(held.drop("size"), SKETCH_BLOCK)
+    near = dealt.groupBy("key", "part", "i", "j").applyInArrow(_promising, "key long, part long, node long, label long")
+    near = stash(near.distinct(), "promising")
+    dealt = _cells(near, BLOCK).join(texts, "node")
+    return dealt.groupBy("key", "part", "i", "j").applyInArrow(_joined, "a long, b long").distinct()
 
 
-def _agreeing(a: str, b: str):
-    """How many of the 32-bit registers of two sketches agree."""
-    spots = F.sequence(F.lit(0), F.lit(REGISTERS - 1))
-    part = lambda s, i: F.substring(F.col(s), i * 4 + 1, F.lit(4))
-    return F.size(F.filter(spots, lambda i: part(a, i) == part(b, i)))
+def settled(nodes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of the classes with links.
+
+    nodes: (node, size, sketch); members: (key, node, n, first), the groups with a common band; texts: (node, text).
+    """
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    stars = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    near = stash(stars.join(side("a"), "a").join(side("b"), "b").where(_fits("a", "b")).select("a", "b"), "near")
+    links = stash(_checked(near, texts), "links")
+    drop(near)
+    labels = components(links)
+    named = stash(members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    several = stash(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "several")
+    if several.isEmpty():
+        return labels
+    rest = named.join(several, "key", "left_semi")
+    # groups with a bounded number of members: their pairs in different classes
+    few = stash(rest.where(F.col("n") <= SMALL).select("key", "node", "label").join(nodes, "node"), "few")
+    of = lambda name: few.select("key", F.col("node").alias(name), F.col("label").alias(f"l{name}"), F.col("size").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    pairs = of("a").join(of("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits("a", "b"))
+    pairs = stash(pairs.select("a", "b").distinct(), "pairs")
+    more = stash(_checked(pairs, texts), "more")
+    drop(few, pairs)
+    across = stash(_across(rest.where(F.col("n") > SMALL).select("key", "node", "label"), nodes, texts), "across")
+    drop(named, several)
+    found = more.unionByName(across)
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,8 +347,10 @@ def components(edges: DataFrame) -> DataFrame:
         # the label's own label: halves the way to the smallest
         short = lower.join(lower.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.least("label", "next").alias("label"))
         short = stash(short, f"labels{turn}")
-        changed = short.join(labels.withColumnRenamed("label", "was"), "node").where("label < was")
-        if changed.isEmpty():
+        done = short.join(labels.withColumnRenamed("label", "was"), "node").where("label < was").isEmpty()
+        drop(lower, labels)
+        if done:
+            drop(edges)
             return short
         labels = short
     raise RuntimeError("the labels did not settle")
@@ -327,32 +372,58 @@ def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).select(*rows.columns)
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of a document's class, kept holds for one row of it."""
+def _digest(body: Column) -> Column:
+    return F.unhex(F.md5(body))
+
+
+def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A stashed table: (doc_id, h, class_id, class_size, kept), h the hash of the text."""
     ship(docs.sparkSession)
     body = text_of(text)
-    digest = F.unhex(F.md5(body))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("h"), body.alias("text"))
-    signed = stash(rows.mapInArrow(_signed, "doc_id long, h binary, bands array<long>, sketch binary"), "signed")
-    nodes = signed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # one text for each node that could have a partner
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _digest(body).alias("h"), body.alias("text"))
+    signed = rows.withColumn("at", F.monotonically_increasing_id()).select("at", "doc_id", "h", "text")
+    signed = stash(signed.mapInArrow(_signed, "at long, doc_id long, h binary, size int, bands array<long>, sketch array<long>"), "signed")
+    one = signed.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("rep"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "bands", "sketch")])
+    nodes = stash(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    common = stash(keys.groupBy("key").count().where("count > 1").select("key"), "common")
-    paired = stash(keys.join(common, "key", "left_semi").select("node").distinct(), "paired")
-    wanted = stash(nodes.select("node", F.col("h").alias("of"), "rep").join(paired, "node", "left_semi"), "wanted")
+    groups = stash(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "groups")
+    members = stash(keys.join(groups, "key"), "members")
+    drop(groups)
+    # one text for each node that could have a partner
+    paired = stash(members.select("node").distinct(), "paired")
+    wanted = stash(nodes.select("node", F.col("h").alias("of"), F.col("rep.doc_id").alias("rep")).join(paired, "node", "left_semi"), "wanted")
     held = _likely(rows, wanted).join(wanted, (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     texts = stash(held.dropDuplicates(["node"]), "texts")
-    found = settled(nodes.select("node", "bands", "sketch"), texts)
+    drop(paired, wanted)
+    found = settled(nodes.select("node", "size", "sketch"), members, texts)
+    drop(members, texts)
     known = nodes.select("node", "h", "rep", "copies").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = stash(known, "known")
-    sizes = stash(known.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
-    member = stash(known.join(sizes, "label").select("h", "class_id", "class_size"), "member")
-    return signed.select("doc_id", "h").join(member, "h").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    sizes = stash(known.groupBy("label").agg(F.min("rep").alias("best"), F.sum("copies").alias("class_size")), "classes")
+    member = stash(known.join(sizes, "label").select("h", "best", "class_size"), "member")
+    drop(nodes, known, sizes, found)
+    out = signed.select("doc_id", "at", "h").join(member, "h")
+    out = stash(out.select("doc_id", "h", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("at") == F.col("best.at")).alias("kept")), "classified")
+    drop(signed, member)
+    return out
+
+
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size, kept): class_id is the smallest doc_id of a document's class, kept holds for one row of it."""
+    return classified(docs, doc_id=doc_id, text=text).drop("h")
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id."""
-    found = classes(docs, doc_id=doc_id, text=text)
-    stay = stash(found.where("kept").select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay["_stay"]), "left_semi")
+    """One row of each class, one with the smallest id; of rows that repeat its id and text any one."""
+    found = classified(docs, doc_id=doc_id, text=text)
+    stay = found.groupBy(F.col("doc_id").alias("_stay_id"), F.col("h").alias("_stay_h")).agg(F.max("kept").alias("kept"), F.count("*").alias("_stay_n")).where("kept").drop("kept")
+    stay = stash(stay, "stay")
+    drop(found)
+    key, digest = docs[doc_id].cast("long"), _digest(F.coalesce(docs[text].cast("string"), F.lit("")))
+    of = lambda rows: docs.join(rows, key.eqNullSafe(F.col("_stay_id")) & (digest == F.col("_stay_h")), "left_semi")
+    repeated = stay.where("_stay_n > 1")
+    if repeated.isEmpty():
+        return of(stay)
+    # few rows repeat an id and a text; of these one stays
+    first = of(repeated).groupBy(key, digest).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return of(stay.where("_stay_n = 1")).unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

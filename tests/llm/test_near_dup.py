@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillscan.llm import near_dup
 
@@ -39,7 +40,9 @@ def test_classes_equal_those_of_all_pairs(spark, documents, docs_list, empty):
     found = near_dup.classes(documents).collect()
     want = brute([(d, t) for d, t, _ in docs_list])
     assert {r["doc_id"]: r["class_id"] for r in found} == want and len(found) == len(docs_list)
+    assert sum(r["kept"] for r in found) == len(set(want.values()))  # one row of each class, also where an id repeats
     kept = near_dup.deduplicated(documents)
+    assert kept.count() == len(set(want.values()))
     assert kept.columns == documents.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(want.values())
     assert near_dup.classes(empty).count() == 0
@@ -94,6 +97,36 @@ def test_near_copies_with_unequal_repeats(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == want
 
 
+def test_repeated_rows_leave_one(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a"), (1, words, "b"), (2, words, "c"), (3, "", None), (3, None, None), (None, "own text here", None), (None, "own text here", None), (4, "one more", "d"), (4, "and another", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    found = near_dup.classes(df)
+    assert found.count() == len(rows) and found.where("kept").count() == 5
+    left = near_dup.deduplicated(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == [(0, "own text here"), (1, words), (3, ""), (4, "and another"), (4, "one more")]
+
+
+def test_registers_that_agree(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (50, near_dup.REGISTERS)).astype("u1")
+    b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 256, a.shape)).astype("u1")
+    rows = [(x.view("<i8").tolist(), y.view("<i8").tolist(), int((x == y).sum())) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(near_dup.alike(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+
+
+def test_parts_by_size_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 25)
+    monkeypatch.setattr(near_dup, "SKETCH_BLOCK", 40)
+    random.seed(21)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: 100 + i])) for i in range(0, 200)]  # sizes in a chain of links, ends unlike
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()} == brute(rows)
+
+
 def test_filter_of_texts_keeps_what_is_wanted(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "unhex(md5(string(id))) AS h")
     wanted = rows.where("doc_id % 7 = 0").selectExpr("h AS of", "doc_id AS rep")
