@@ -5,33 +5,42 @@ access keys, and long hexadecimal runs. Beside these, every run of at least
 MIN_TOKEN key characters that overlaps no base span and mixes digits with
 letters is a candidate. Its encoding is inferred (hex, base32, base36, base64);
 separators (- _ + /) are symbols of base64 only, which is for tokens that mix
-upper with lower case, and are left out of the tests of all others. Under the hypothesis that its symbols are independent and uniform over that
-alphabet three tests are taken: chi-squared for uniformity, the number of runs
-above and below the middle of the alphabet, and serial correlation at lag one.
-Fisher's method joins the three to one p-value.
-
-Structured text (identifiers, paths, dates) has small p-values. Within strata of
-encoding and length (powers of two), the Benjamini-Hochberg procedure over all
-candidates of the corpus declares which are structured, with a false-discovery
-rate of q; the rest look random and become spans of kind random. A p-value above
-q is never declared structured, so uniform tokens are lost with a chance of about
-q, however many structured ones the corpus holds. The tests tell little of few
-symbols, so short slugs with digits can pass for random. p-values are counted in bins on
-a logarithmic scale, so the procedure needs one small histogram, never the
-candidates in one place.
-
-Null texts count as empty; repeated rows are scanned each; empty texts have no
-spans; an empty table gives no rows. Offsets count code points, ends excluded.
+upper with lower case, and are left out of the tests of all others. Under the
+hypothesis that its symbols are independent and uniform over that alphabet three
+tests are taken: chi-squared for uniformity (an exact table up to EXACT symbols),
+the number of runs above and below the middle of the alphabet, and serial
+correlation at lag one. Fisher's method joins the three to one p-value.
+
+Random tokens have uniform p-values, structured text (identifiers, paths, dates)
+small ones. What is reported is controlled: within strata of encoding and length
+(powers of two) a histogram of all candidates' p-values is taken; the part above
+RANDOM_FROM tells how many candidates are random, and what is left of the
+histogram when their uniform share is taken off is the tail of the structured
+ones. Tokens are reported from the smallest p-value on at which the structured
+ones among them are at most a share q (Benjamini and Hochberg's rule with p-values
+under the fitted structured hypothesis). A stratum's histogram counts PRIOR more
+candidates that are spread like all of its encoding, which steadies small strata.
+Random tokens below the limit are lost: less than RANDOM_FROM of them, unless
+structured ones are found above it. Structured ones above RANDOM_FROM count as
+random: of few symbols the tests tell little. The histogram is small, so the
+candidates are never in one place.
+
+A text's spans follow from the text, so copies are scanned once. Null texts count
+as empty; repeated rows have the same spans each; empty texts have none; texts are
+scanned whole, however long; an empty table gives no rows. Spans that tie in their
+start are in order of their kind. Offsets count code points, ends excluded.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import stash, text_of
+from quillscan.llm.common import drop, stash, text_of
 
 #: Kinds in order, pattern, group whose length counts (0: the match), least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,6 +53,8 @@ SEPARATORS = "_+/-"
 ORDER = ("assign", "access", "hex", "random")
 #: Bins of p-values: so many to a power of ten, down to 10 ** -DECADES.
 STEPS, DECADES = 20, 20
+#: p-values from here on count as those of random tokens; candidates that each stratum is given from all of its encoding; symbols up to which chi-squared is exact, and the largest sum of squares in its table.
+RANDOM_FROM, PRIOR, EXACT, SQUARES = 0.05, 8.0, 64, 512
 #: Encodings, their alphabets.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -79,6 +90,35 @@ def encoding(token: Column) -> Column:
     )
 
 
+def square_tails(k: int, most: int = EXACT, cap: int = SQUARES) -> np.ndarray:
+    """[n, s]: the chance that the squared counts of n uniform symbols of k add up to s or more, for n up to most and s up to cap.
+
+    Built letter by letter from exponential generating functions.
+    """
+    ways = np.zeros((most + 1, cap + 2))  # the last column is for what is beyond cap
+    ways[0, 0] = 1.0
+    times = [j for j in range(most + 1) if j * j <= cap]
+    for _ in range(k):
+        new = np.zeros_like(ways)
+        for j in times:
+            rows = ways[: most + 1 - j] / math.factorial(j)
+            new[j:, j * j : cap + 1] += rows[:, : cap + 1 - j * j]
+        ways = new
+    chance = ways * np.array([math.factorial(n) / float(k) ** n for n in range(most + 1)])[:, None]
+    chance[:, cap + 1] = np.maximum(0.0, 1.0 - chance[:, : cap + 1].sum(1))
+    return np.clip(chance[:, ::-1].cumsum(1)[:, ::-1][:, : cap + 1], 0.0, 1.0)
+
+
+def chi_table(spark: SparkSession) -> DataFrame:
+    """(encoding, symbols, squares, tail): the exact tails that are neither 0 nor 1. Its size is fixed: some 20,000 rows."""
+    rows = []
+    for name, alphabet in ALPHABETS.items():
+        tails = square_tails(len(alphabet))
+        for n in range(2, EXACT + 1):
+            rows += [(name, n, s, float(tails[n, s])) for s in range(n, SQUARES + 1, 2) if 1e-12 < tails[n, s] < 1 - 1e-12]
+    return spark.createDataFrame(rows, "encoding string, symbols int, squares int, tail double")
+
+
 def _two_sided(z: Column) -> Column:
     """The chance of a normal deviate as far from 0 (a logistic approximation, within 0.0002)."""
     a = F.least(F.abs(z), F.lit(8.0))
@@ -89,84 +129,121 @@ def _upper(z: Column) -> Column:
     return F.when(z > 0, _two_sided(z) / 2).otherwise(1 - _two_sided(z) / 2)
 
 
-def randomness(token: Column, kind: Column) -> Column:
-    """The joint p-value of the three tests, under independent uniform symbols of the alphabet."""
+def statistics(token: Column, kind: Column) -> Column:
+    """struct<symbols, letters, squares, runs, serial> of a token: how many symbols, of how many letters, the sum of their squared counts, runs above and below the middle, and the sum of products of neighbours (from the middle)."""
     alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[kind]
     bare = F.regexp_replace(token, f"[{SEPARATORS}]", "")
     plain = F.when(kind == "base64", F.translate(token, "-_", "+/")).when(kind == "base32", bare).otherwise(F.lower(bare))
     once = lambda value, f: F.transform(F.array(value), f)[0]
 
-    def tests(x: Column) -> Column:
-        n, k, codes = F.length(x["t"]).cast("double"), F.length(x["a"]).cast("double"), x["c"]
-        squares = F.aggregate(F.split(x["a"], ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.pow(n - F.length(F.replace(x["t"], c)), 2)))
-        chi, df = k / n * squares - n, k - 1
-        z_chi = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    def figures(x: Column) -> Column:
+        n, k = F.length(x["t"]), F.length(x["a"])
+        squares = F.aggregate(F.split(x["a"], ""), F.lit(0).cast("long"), lambda s, c: s + F.when(c == "", 0).otherwise((n - F.length(F.replace(x["t"], c))) * (n - F.length(F.replace(x["t"], c)))).cast("long"))
         middle = (k + 1) / 2
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("serial"))
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(1).alias("runs"), F.lit(0.0).alias("serial"))
         seen = F.aggregate(
-            codes,
+            x["c"],
             start,
             lambda s, c: F.struct(
                 (c - middle).alias("last"),
-                (s["runs"] + F.when(s["last"].isNotNull() & ((s["last"] > 0) != (c - middle > 0)), 1.0).otherwise(0.0)).alias("runs"),
+                (s["runs"] + F.when(s["last"].isNotNull() & ((s["last"] > 0) != (c - middle > 0)), 1).otherwise(0)).alias("runs"),
                 (s["serial"] + F.coalesce(s["last"] * (c - middle), F.lit(0.0))).alias("serial"),
             ),
         )
-        return once(seen, lambda s: F.array(_upper(z_chi), _two_sided((s["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)), _two_sided(s["serial"] / ((k * k - 1) / 12 * F.sqrt(n - 1)))))
-
-    def fisher(p: Column) -> Column:
-        half = -F.aggregate(p, F.lit(0.0), lambda s, x: s + F.log(F.greatest(x, F.lit(1e-300))))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        return once(seen, lambda s: F.struct(n.alias("symbols"), k.alias("letters"), squares.alias("squares"), s["runs"].alias("runs"), s["serial"].alias("serial")))
 
     letters = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    return once(once(F.struct(plain.alias("t"), alphabet.alias("a"), letters.alias("c")), tests), fisher)
+    return once(F.struct(plain.alias("t"), alphabet.alias("a"), letters.alias("c")), figures)
+
+
+def with_p_values(tokens: DataFrame, token: str = "token", encoding: str = "encoding") -> DataFrame:
+    """tokens with p, the joint p-value of the three tests, and p_chi, p_runs, p_serial."""
+    rows = tokens.withColumn("_s", statistics(F.col(token), F.col(encoding)))
+    table = chi_table(tokens.sparkSession).select(F.col("encoding").alias("_e"), F.col("symbols").alias("_n"), F.col("squares").alias("_q"), F.col("tail").alias("_tail"))
+    # the table's size is fixed
+    rows = rows.join(F.broadcast(table), (F.col(encoding) == F.col("_e")) & (F.col("_s.symbols") == F.col("_n")) & (F.col("_s.squares") == F.col("_q")), "left")
+    n, k, squares = F.col("_s.symbols").cast("double"), F.col("_s.letters").cast("double"), F.col("_s.squares").cast("double")
+    chi, df = k / n * squares - n, k - 1
+    z = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    exact = F.coalesce(F.col("_tail"), F.when(squares > n + n * (n - 1) / k, 0.0).otherwise(1.0))
+    pairs = F.greatest(n - 1, F.lit(1.0))
+    rows = rows.withColumns({
+        "p_chi": F.when(n <= EXACT, exact).otherwise(_upper(z)),
+        "p_runs": _two_sided((F.col("_s.runs") - 1 - (n - 1) / 2) / F.sqrt(pairs / 4)),
+        "p_serial": _two_sided(F.col("_s.serial") / ((k * k - 1) / 12 * F.sqrt(pairs))),
+    })
+    half = -sum((F.log(F.greatest(F.col(c), F.lit(1e-15))) for c in ("p_chi", "p_runs", "p_serial")), F.lit(0.0))
+    return rows.withColumn("_h", half).withColumn("p", F.exp(-F.col("_h")) * (1 + F.col("_h") + F.col("_h") * F.col("_h") / 2)).drop("_s", "_e", "_n", "_q", "_tail", "_h")
 
 
 def _bin(p: Column) -> Column:
-    """The bin of a p-value; its upper end is 10 ** ((bin + 1) / STEPS - DECADES)."""
+    """The bin of a p-value; its lower end is 10 ** (bin / STEPS - DECADES)."""
     return F.floor((F.log10(F.greatest(p, F.lit(10.0**-DECADES))) + DECADES) * STEPS).cast("int")
 
 
-def structured_limits(candidates: DataFrame, q: float = 0.01) -> dict[tuple[str, int], int]:
-    """For each stratum (encoding, log2 of the length), the largest bin of p-values that is declared structured. At most 4 x 31 strata."""
-    bins = candidates.groupBy("encoding", "scale", "bin").count()
+def report_limits(candidates: DataFrame, q: float = 0.05) -> DataFrame:
+    """(encoding, scale, limit): the smallest bin of p-values from which a stratum's candidates (encoding, scale, bin) are reported; none where all look structured. At most 4 x 31 rows."""
+    own = candidates.groupBy("encoding", "scale", "bin").agg(F.count("*").cast("double").alias("n"))
+    pool = own.groupBy("encoding", "bin").agg(F.sum("n").alias("n"))
+    pool = pool.select("encoding", "bin", (PRIOR * F.col("n") / F.sum("n").over(Window.partitionBy("encoding"))).alias("share"))
+    strata = own.select("encoding", "scale").distinct().join(pool, "encoding")
+    counts = strata.join(own, ["encoding", "scale", "bin"], "left").withColumn("c", F.coalesce("n", F.lit(0.0)) + F.col("share"))
     by = Window.partitionBy("encoding", "scale")
-    bins = bins.withColumn("m", F.sum("count").over(by)).withColumn("upto", F.sum("count").over(by.orderBy("bin")))
-    passed = bins.where(F.pow(F.lit(10.0), (F.col("bin") + 1) / STEPS - DECADES) * F.col("m") <= q * F.col("upto"))
-    return {(r["encoding"], r["scale"]): r["bin"] for r in passed.groupBy("encoding", "scale").agg(F.max("bin").alias("bin")).collect()}
+    edge = lambda b: F.pow(F.lit(10.0), b / STEPS - DECADES)
+    first = math.ceil((math.log10(RANDOM_FROM) + DECADES) * STEPS)
+    random = F.sum(F.when(F.col("bin") >= first, F.col("c")).otherwise(0.0)).over(by) / (1 - 10 ** (first / STEPS - DECADES))
+    # a limit may lie anywhere above the bin before: right there it costs the fewest random tokens
+    low = F.coalesce(edge(F.lag("bin").over(by.orderBy("bin")) + 1), F.lit(0.0))
+    counts = counts.withColumns({"random": random, "above": F.sum("c").over(by.orderBy(F.desc("bin"))), "low": low})
+    structured = F.greatest(F.col("above") - F.col("random") * (1 - F.col("low")), F.lit(0.0))
+    return counts.where(structured <= q * F.col("above")).groupBy("encoding", "scale").agg(F.min("bin").alias("limit"))
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: float = 0.01) -> DataFrame:
-    """The columns in keep, and spans: array<struct<start, rank, end, kind>> in order of start, then kind (rank 0 to 3)."""
-    body = text_of(text)
-    hits = F.concat(*[_hits(body, *kind) for kind in (*BASE, ("random", RUN, 0, MIN_TOKEN))])
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), hits.alias("hits"))
-    rows = stash(rows, "hits")
-    each = rows.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
-    in_order = Window.partitionBy("rid", "kind").orderBy("i")
+def _guarded(body: Column) -> Column:
+    """Whether a text can have a span at all."""
+    return body.rlike(GUARDS["assign"]) | body.rlike(GUARDS["access"]) | body.rlike(GUARDS["hex"]) | body.rlike(RUN)
+
+
+def _digest(body: Column) -> Column:
+    return F.unhex(F.md5(body))
+
+
+def found_spans(docs: DataFrame, *, text: str = "text", q: float = 0.05) -> DataFrame:
+    """A stashed table (h, spans) of the different texts that have spans; h is the hash of a text."""
+    body = F.col("t")
+    rows = docs.select(text_of(text).alias("t")).where(_guarded(body))
+    rows = rows.select(_digest(body).alias("h"), F.concat(*[_hits(body, *kind) for kind in (*BASE, ("random", RUN, 0, MIN_TOKEN))]).alias("hits"))
+    rows = stash(rows.groupBy("h").agg(F.first("hits").alias("hits")), "hits")
+    each = rows.where(F.size("hits") > 0).select("h", F.explode("hits").alias("x")).select("h", "x.*")
+    in_order = Window.partitionBy("h", "kind").orderBy("i")
     start = F.sum("gap").over(in_order) + F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("start", start).withColumn("end", F.col("start") + F.col("n")).where("ok").drop("i", "gap", "ok")
-    # candidates that overlap no base span: one sorted pass over a document's spans
+    # candidates that overlap no base span: one sorted pass over a text's spans
     base = F.col("kind") != "random"
-    across = Window.partitionBy("rid").orderBy("start", "end")
+    across = Window.partitionBy("h").orderBy("start", "end")
     reached = F.max(F.when(base, F.col("end"))).over(across.rowsBetween(Window.unboundedPreceding, 0))
     coming = F.min(F.when(base, F.col("start"))).over(across.rowsBetween(0, Window.unboundedFollowing))
     free = F.coalesce(reached <= F.col("start"), F.lit(True)) & F.coalesce(coming >= F.col("end"), F.lit(True))
     each = each.withColumn("free", free).where(base | F.col("free"))
-    bare = F.regexp_replace("token", "=+$", "")
-    kind = F.when(~base, encoding(bare))
-    each = each.withColumn("encoding", kind).where(base | F.col("encoding").isNotNull())
-    each = each.withColumn("bin", F.when(~base, _bin(randomness(bare, F.col("encoding"))))).withColumn("scale", F.floor(F.log2("n")).cast("int"))
-    each = stash(each.select("rid", "kind", "start", "end", "encoding", "scale", "bin"), "spans")
-    limits = structured_limits(each.where("kind = 'random'"), q)
-    structured = F.lit(False)
-    for (name, scale), limit in limits.items():
-        structured = structured | ((F.col("encoding") == name) & (F.col("scale") == scale) & (F.col("bin") <= limit))
+    each = each.withColumn("token", F.regexp_replace("token", "=+$", "")).withColumn("encoding", F.when(~base, encoding(F.col("token"))))
+    each = stash(each.select("h", "kind", "start", "end", "token", "encoding", F.floor(F.log2("n")).cast("int").alias("scale")), "spans")
+    tested = with_p_values(each.where("kind = 'random' AND encoding IS NOT NULL"))
+    tested = stash(tested.select("h", "kind", "start", "end", "encoding", "scale", _bin(F.col("p")).alias("bin")), "tested")
+    limits = stash(report_limits(tested, q), "limits")
+    kept = tested.join(F.broadcast(limits), ["encoding", "scale"]).where("bin >= limit")  # a row for each stratum
+    spans = each.where(base).select("h", "kind", "start", "end").unionByName(kept.select("h", "kind", "start", "end"))
     rank = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind")).cast("int") - 1
-    found = each.where(~F.coalesce(structured, F.lit(False))).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans"))
-    found = stash(found, "found")
+    found = stash(spans.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("spans")), "found")
+    drop(rows, each, tested, limits)
+    return found
+
+
+def scan(docs: DataFrame, *, text: str = "text", keep: Sequence[str] = (), q: float = 0.05) -> DataFrame:
+    """The columns in keep, and spans: array<struct<start, rank, end, kind>> in order of start, then kind (rank 0 to 3)."""
+    found = found_spans(docs, text=text, q=q)
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), _digest(text_of(text)).alias("h"))
     none = F.array().cast(found.schema["spans"].dataType)
-    return rows.select("rid", "row").join(found, "rid", "left").select(*[F.col("row")[c].alias(c) for c in keep], F.coalesce("spans", none).alias("spans"))
+    return rows.join(found, "h", "left").select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep)], F.coalesce("spans", none).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -179,18 +256,28 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(*[c for c in scanned.columns if c != "spans"], *counts[:3], base.alias("base_sha256"), as_text(spans).alias("spans"), counts[3])
 
 
-def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every span replaced by the mark (overlapping spans by one), n_chars recounted."""
-    rows = scan(docs, text=text, keep=docs.columns)
-    body = text_of(text)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def cleaned(body: Column, spans: Column, mark: str) -> Column:
+    """The text with every span replaced by the mark, overlapping ones by one. Many spans are cut out of the text's list of characters, so that the cost grows with the text and not with both."""
+    gap = "array<struct<a:bigint,b:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(gap).alias("gaps"))
 
     def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        part = F.when(fresh, F.concat(F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"].cast("long")).alias("at"), F.concat(a["out"], part).alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
-    rows = rows.withColumn("_clean", F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
-    column = lambda c: F.col("_clean").alias(c) if c == text else F.length(F.coalesce("_clean", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")
-    return rows.select(*[column(c) for c in docs.columns])
+        between = F.array_append(a["gaps"], F.struct(a["at"].alias("a"), s["start"].cast("long").alias("b")))
+        return F.struct(F.greatest(a["at"], s["end"].cast("long")).alias("at"), F.when(s["start"] >= a["at"], between).otherwise(a["gaps"]).alias("gaps"))
+
+    size = F.length(body).cast("long")
+    gaps = F.aggregate(spans, start, step, lambda a: F.array_append(a["gaps"], F.struct(F.least(a["at"], size).alias("a"), size.alias("b"))))
+    few = F.transform(gaps, lambda g: F.substring(body, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
+    many = F.transform(F.array(F.struct(F.split(body, "").alias("c"), gaps.alias("g"))), lambda x: F.transform(x["g"], lambda g: F.array_join(F.slice(x["c"], (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")), "")))[0]
+    return F.array_join(F.when(F.size(spans) <= 32, few).otherwise(many), mark)
+
+
+def redacted(docs: DataFrame, *, text: str = "text", mark: str = "[REDACTED]", q: float = 0.05) -> DataFrame:
+    """docs with every span replaced by the mark (overlapping spans by one), n_chars recounted. Only texts that can have a span take part in the join."""
+    found, body, columns = found_spans(docs, text=text, q=q), text_of(text), docs.columns
+    size = lambda x: F.length(F.coalesce(x, F.lit(""))).cast("long")
+    plain = docs.where(~_guarded(body)).select(*[size(F.col(text)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    rows = docs.where(_guarded(body)).select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), body.alias("body"))
+    rows = rows.withColumn("h", _digest(F.col("body"))).join(found, "h", "left")
+    rows = rows.select("row", F.when(F.size("spans") > 0, cleaned(F.col("body"), F.col("spans"), mark)).otherwise(F.col("body")).alias("clean"))
+    return plain.unionByName(rows.select(*[F.col("clean").alias(c) if c == text else size(F.col("clean")).alias(c) if c == "n_chars" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)]))
