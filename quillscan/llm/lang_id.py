@@ -8,13 +8,16 @@ of the address suffix, the suffix's towards all pages'. The counts behind these
 are sums of the pages' text posteriors, taken by grouped aggregation over all
 pages, and every page leaves its own share out of the counts that judge it.
 
-The text model is fitted on at most sample_rows labelled rows, those with the
-smallest hashes of their texts. Trigrams overlap, so a text counts as at most
-EVIDENCE of them.
-
-A null or empty page has a flat text likelihood and is judged by the rest; ties
-go to the first language in order of code points; repeated rows are judged each;
-an empty table gives no rows. Without a labelled row fit() raises ValueError.
+The languages are all that label a row (1000 at most). The text model is fitted on
+at most sample_rows of the different labelled texts, as many of each language and
+16 at least, those with the smallest hashes; executors count their trigrams, over
+whole texts, and the driver receives counts only. Trigrams overlap, so a text
+counts as at most EVIDENCE of them.
+
+A null or empty page has a flat text likelihood and is judged by the rest; pages
+are read whole, however long; ties go to the first language in order of code
+points; repeated rows are judged each; an empty table gives no rows. Without a
+labelled row fit() raises ValueError.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import sampled, ship, stash
+from quillscan.llm.common import ship, stash
 
-BUCKETS, EVIDENCE, PRIOR = 1 << 14, 60.0, 5.0
+BUCKETS, EVIDENCE, PRIOR, MOST_LANGUAGES = 1 << 14, 60.0, 5.0, 1000
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
 _ENTITY = re.compile(r"&#?\w{1,31};")
 _DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,8})""")
@@ -67,15 +70,29 @@ def visible(html: str) -> str:
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 4096) -> TextModel:
-    labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l IS NOT NULL AND length(t) > 0")
-    rows = sampled(labelled, F.xxhash64("t", "l"), sample_rows).toArrow()
-    if not rows.num_rows:
-        raise ValueError("no labelled rows")
-    names = rows["l"].to_pylist()
-    languages = sorted(set(names))
+    ship(docs.sparkSession)
+    labelled = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("l IS NOT NULL AND length(t) > 0").withColumn("h", F.xxhash64("t", "l"))
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if not sizes or len(sizes) > MOST_LANGUAGES:
+        raise ValueError("no labelled rows" if not sizes else f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(sizes)
+    most = max(16, sample_rows // len(languages))
+    # about twice as many as are wanted pass a threshold on the hash in the scan
+    least = {name: -(1 << 63) + (min(2 * most + 100, n) << 64) // n for name, n in sizes.items()}
+    limit = F.create_map(*[F.lit(x) for name in languages for x in (name, min(least[name], (1 << 63) - 1))])
+    rows = labelled.where(F.col("h") <= limit[F.col("l")]).dropDuplicates(["h"])
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= most)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[name] = held.get(name, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), "string"), pa.array([x.astype("<i8").tobytes() for x in held.values()], "binary")], ["l", "counts"])
+
     counts = np.full((len(languages), BUCKETS), 0.5)
-    for t, name in zip(rows["t"].to_pylist(), names):
-        counts[languages.index(name)] += np.bincount(trigrams(t), minlength=BUCKETS)
+    for r in rows.select("t", "l").mapInArrow(count, "l string, counts binary").toLocalIterator():
+        counts[languages.index(r["l"])] += np.frombuffer(r["counts"], "<i8")
     return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)).astype("f4"))
 
 

