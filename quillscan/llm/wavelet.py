@@ -1,15 +1,18 @@
 """Token ids in wavelet matrix files.
 
-A shard is one file: a header, its documents' ids and lengths, and for each bit
-of a token id a plane of bits with a rank directory, each part compressed on its
-own. Token access, counting and occurrence lookup read the planes without
-restoring the ids; decode() restores them all.
-
-write() sorts by document id over contiguous ranges (ties by a hash of the text,
-so that even one repeated id is dealt out), encodes, and leaves a table in the
-shared folder with one row for each file: (part, shard, n_docs, n_tokens, file).
-A range is cut into further files at about shard_tokens tokens, so neither a
-file nor a worker's memory grows with the input.
+A shard is one file: a header, its documents' ids and lengths, a directory, and
+for each bit of a token id a plane of bits. A plane is cut into blocks of SPAN
+bytes that are compressed on their own; the directory has each block's place and
+the ones before it. Token access, counting and occurrence lookup read a block or
+two of each plane, from bytes in memory or from an open file; decode() restores
+all ids.
+
+write() encodes, then sorts the ids by document id over contiguous ranges (ties by
+a hash of the ids, so that even one repeated id is dealt out), and leaves a table
+in the shared folder with one row for each file: (part, shard, n_docs, n_tokens,
+file). A range is cut into further files at about shard_tokens tokens, so neither
+a file nor a worker's memory grows with the input, but for a single very long text,
+which is encoded whole. export() writes the files out.
 
 Null texts are empty documents (one end id), null ids sort first, repeated rows
 are written each, an empty table gives no file.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscan.llm import tok
-from quillscan.llm.common import ship, stash, text_of
+from quillscan.llm.common import drop, ship, stash, text_of
 
-MAGIC, VERSION = b"QSWM", 1
-STEP = 512  #: bits between two entries of a rank directory
-HEAD = struct.Struct("<4sHHqq")  # magic, version, bits, documents, tokens
+MAGIC, VERSION = b"QSWM", 2
+SPAN = 4096  #: bytes of a plane that are compressed together
+HEAD = struct.Struct("<4sHHqqq")  # magic, version, bits, documents, tokens, bytes of the compressed part on documents
 _ONES = np.array([bin(i).count("1") for i in range(256)], "u1")
 
 
@@ -41,56 +45,76 @@ def build(docs: np.ndarray, known: np.ndarray, sizes: np.ndarray, ids: np.ndarra
     """The file of a shard. known: whether a document's id is not null."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     bits = max(1, int(ids.max(initial=0)).bit_length())
-    parts = [docs.astype("<i8").tobytes(), np.packbits(known).tobytes(), sizes.astype("<i8").tobytes()]
+    about = squeeze(docs.astype("<i8").tobytes() + sizes.astype("<i8").tobytes() + np.packbits(known).tobytes())
     left = ids.astype("u2") if bits <= 16 else ids.astype("u4")
+    blocks, places, ones, at = [], [], [], 0
     for b in range(bits - 1, -1, -1):
         bit = (left >> b & 1).astype(bool)
-        plane = np.packbits(bit)
-        ones = np.add.reduceat(_ONES[plane].astype("u4"), np.arange(0, len(plane), STEP // 8)) if len(plane) else np.zeros(0, "u4")
-        parts += [plane.tobytes(), np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes()]
+        plane, seen = np.packbits(bit), 0
+        for i in range(0, len(plane), SPAN):
+            part = plane[i : i + SPAN]
+            blocks.append(squeeze(part.tobytes()))
+            places.append(at)
+            ones.append(seen)
+            at, seen = at + len(blocks[-1]), seen + int(_ONES[part].sum(dtype="i8"))
+        places.append(at)
+        ones.append(seen)
         left = np.concatenate((left.compress(~bit), left.compress(bit)))
-    parts = [squeeze(p) for p in parts]
-    return HEAD.pack(MAGIC, VERSION, bits, len(docs), len(ids)) + struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
+    table = np.array([places, ones], "<i8").T.tobytes()
+    return HEAD.pack(MAGIC, VERSION, bits, len(docs), len(ids), len(about)) + about + table + b"".join(blocks)
 
 
 class WaveletMatrix:
-    """Reads a shard's file."""
+    """Reads a shard's file: bytes, or an open file, of which only what is asked for is read. bytes_read counts."""
 
-    def __init__(self, file: bytes):
-        magic, version, self.bits, self.n_docs, self.n = HEAD.unpack_from(file)
+    def __init__(self, file):
+        self._file, self.bytes_read = file, 0
+        magic, version, self.bits, self.n_docs, self.n, about = HEAD.unpack(self._read(0, HEAD.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a wavelet matrix file")
-        count = 3 + 2 * self.bits
-        lengths = struct.unpack_from(f"<{count}q", file, HEAD.size)
-        at = HEAD.size + 8 * count
-        self._parts = []
-        for n in lengths:
-            self._parts.append((at, n))
-            at += n
-        self._file = file
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
-
-    def _part(self, i: int) -> bytes:
-        at, n = self._parts[i]
-        return zstandard.ZstdDecompressor().decompress(self._file[at : at + n])
+        self._about = HEAD.size, about
+        self._blocks = -(-self.n // (8 * SPAN))  # of a plane
+        rows = self.bits * (self._blocks + 1)
+        at = HEAD.size + about
+        table = np.frombuffer(self._read(at, 16 * rows), "<i8").reshape(self.bits, self._blocks + 1, 2)
+        self._places, self._before, self._start = table[:, :, 0], table[:, :, 1], at + 16 * rows
+        self._held: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.bytes_read += n
+        if isinstance(self._file, (bytes, memoryview)):
+            return self._file[at : at + n]
+        self._file.seek(at)
+        return self._file.read(n)
 
     def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, whether each is not null, and sizes."""
-        known = np.unpackbits(np.frombuffer(self._part(1), "u1"), count=self.n_docs).astype(bool)
-        return np.frombuffer(self._part(0), "<i8"), known, np.frombuffer(self._part(2), "<i8")
-
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray, int]:
-        if level not in self._planes:
-            plane, ranks = np.frombuffer(self._part(3 + 2 * level), "u1"), np.frombuffer(self._part(4 + 2 * level), "<u4")
-            self._planes[level] = plane, ranks, self.n - int(ranks[-1])
-        return self._planes[level]
+        raw = zstandard.ZstdDecompressor().decompress(self._read(*self._about))
+        numbers = np.frombuffer(raw, "<i8", count=2 * self.n_docs)
+        known = np.unpackbits(np.frombuffer(raw, "u1", offset=16 * self.n_docs), count=self.n_docs).astype(bool)
+        return numbers[: self.n_docs], known, numbers[self.n_docs :]
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        """A block's bytes; the last 64 blocks used are held."""
+        if (level, block) not in self._held:
+            a, b = int(self._places[level, block]), int(self._places[level, block + 1])
+            self._held[level, block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._read(self._start + a, b - a)), "u1")
+            if len(self._held) > 64:
+                self._held.popitem(last=False)
+        return self._held[level, block]
+
+    def _zeros(self, level: int) -> int:
+        return self.n - int(self._before[level, -1])
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        plane, ranks, _ = self._plane(level)
-        block, byte = i // STEP, i // 8
-        out = int(ranks[block]) + int(_ONES[plane[block * STEP // 8 : byte]].sum(dtype="i8"))
-        return out + bin(int(plane[byte]) >> (8 - i % 8)).count("1") if i % 8 else out
+        block, rest = divmod(i, 8 * SPAN)
+        out = int(self._before[level, block])
+        if rest:
+            plane = self._block(level, block)
+            out += int(_ONES[plane[: rest // 8]].sum(dtype="i8"))
+            out += bin(int(plane[rest // 8]) >> (8 - rest % 8)).count("1") if rest % 8 else 0
+        return out
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -98,10 +122,10 @@ class WaveletMatrix:
             raise IndexError(i)
         out = 0
         for level in range(self.bits):
-            plane, _, zeros = self._plane(level)
+            block, rest = divmod(i, 8 * SPAN)
+            bit = int(self._block(level, block)[rest // 8]) >> (7 - rest % 8) & 1
             ones = self._ones(level, i)
-            bit = int(plane[i // 8]) >> (7 - i % 8) & 1
-            i = zeros + ones if bit else i - ones
+            i = self._zeros(level) + ones if bit else i - ones
             out = out << 1 | bit
         return out
 
@@ -111,8 +135,8 @@ class WaveletMatrix:
             return 0
         a, b = 0, min(i, self.n)
         for level in range(self.bits):
-            zeros, x, y = self._plane(level)[2], self._ones(level, a), self._ones(level, b)
-            a, b = (zeros + x, zeros + y) if token >> (self.bits - 1 - level) & 1 else (a - x, b - y)
+            x, y = self._ones(level, a), self._ones(level, b)
+            a, b = (self._zeros(level) + x, self._zeros(level) + y) if token >> (self.bits - 1 - level) & 1 else (a - x, b - y)
         return b - a
 
     def count(self, token: int) -> int:
@@ -120,11 +144,11 @@ class WaveletMatrix:
 
     def _select_bit(self, level: int, bit: int, j: int) -> int:
         """The place of the j-th (from 0) such bit of a plane."""
-        plane, ranks, _ = self._plane(level)
-        before = ranks.astype("i8") if bit else np.minimum(np.arange(len(ranks), dtype="i8") * STEP, self.n) - ranks
+        ones = self._before[level]
+        before = ones if bit else np.minimum(np.arange(len(ones), dtype="i8") * 8 * SPAN, self.n) - ones
         block = int(np.searchsorted(before, j, "right")) - 1
-        rest = np.unpackbits(plane[block * STEP // 8 : (block + 1) * STEP // 8])
-        return block * STEP + int(np.flatnonzero(rest == bit)[j - int(before[block])])
+        rest = np.unpackbits(self._block(level, block))
+        return block * 8 * SPAN + int(np.flatnonzero(rest == bit)[j - int(before[block])])
 
     def select(self, token: int, j: int) -> int:
         """The place of the j-th (from 0) occurrence of a token."""
@@ -133,19 +157,22 @@ class WaveletMatrix:
         a = 0
         for level in range(self.bits):
             ones = self._ones(level, a)
-            a = self._plane(level)[2] + ones if token >> (self.bits - 1 - level) & 1 else a - ones
+            a = self._zeros(level) + ones if token >> (self.bits - 1 - level) & 1 else a - ones
         at = a + j
         for level in range(self.bits - 1, -1, -1):
             bit = token >> (self.bits - 1 - level) & 1
-            at = self._select_bit(level, bit, at - self._plane(level)[2] if bit else at)
+            at = self._select_bit(level, bit, at - self._zeros(level) if bit else at)
         return at
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane to the first."""
         out = np.zeros(self.n, "u2" if self.bits <= 16 else "u4")
+        open_ = zstandard.ZstdDecompressor().decompress
         for level in range(self.bits - 1, -1, -1):
-            plane, _, zeros = self._plane(level)
-            bit = np.unpackbits(plane, count=self.n).view(bool)
+            a, b = int(self._places[level, 0]), int(self._places[level, -1])
+            held, cuts = self._read(self._start + a, b - a), (self._places[level] - a).tolist()
+            plane = np.frombuffer(b"".join([open_(held[x:y]) for x, y in zip(cuts, cuts[1:])]), "u1")
+            bit, zeros = np.unpackbits(plane, count=self.n).view(bool), self._zeros(level)
             up = np.empty_like(out)
             up[np.flatnonzero(~bit)] = out[:zeros]
             up[np.flatnonzero(bit)] = out[zeros:] | out.dtype.type(1 << (self.bits - 1 - level))
@@ -159,34 +186,60 @@ def write(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabu
     path = vocabulary or tok.vocabulary("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = tok.opened(kind, path)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in tok.portions(texts):
+                ids = [x + end for x in model.encode(texts[a:b])]
+                sizes = np.array([len(x) // 4 for x in ids], "i8")
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                wide = int(flat.max(initial=0)) > 0xFFFF
+                held, step = memoryview(flat.tobytes() if wide else flat.astype("<u2").tobytes()), 4 if wide else 2
+                ends = (np.cumsum(sizes) * step).tolist()
+                parts = [held[y - n * step : y].tobytes() for y, n in zip(ends, sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(parts, "binary")], ["d", "n", "ids"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, shard = tok.opened(kind, path), TaskContext.get().partitionId(), 0
+        part, shard, tokens = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
-        held: list[bytes] = []
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
 
         def file() -> pa.RecordBatch:
-            sizes, ids = np.array([len(x) // 4 for x in held], "i8"), np.frombuffer(b"".join(held), "<u4")
-            made = build(np.array([x or 0 for x in names], "i8"), np.array([x is not None for x in names]), sizes, ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], "int32"), pa.array([shard], "int32"), pa.array([len(names)], "int64"), pa.array([len(ids)], "int64"), pa.array([made], "binary")], ["part", "shard", "n_docs", "n_tokens", "file"])
+            made = build(np.array([x or 0 for x in names], "i8"), np.array([x is not None for x in names]), np.array(sizes, "i8"), np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([part], "int32"), pa.array([shard], "int32"), pa.array([len(names)], "int64"), pa.array([sum(sizes)], "int64"), pa.array([made], "binary")], ["part", "shard", "n_docs", "n_tokens", "file"])
 
-        tokens = 0
         for batch in batches:
-            batch_names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tok.portions(texts):
-                for name, ids in zip(batch_names[a:b], model.encode(texts[a:b])):
-                    names.append(name)
-                    held.append(ids + end)
-                    tokens += len(held[-1]) // 4
-                    if tokens >= shard_tokens:
-                        yield file()
-                        shard, tokens, names, held = shard + 1, 0, [], []
+            for name, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                names.append(name)
+                sizes.append(n)
+                held.append(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4"))
+                tokens += n
+                if tokens >= shard_tokens:
+                    yield file()
+                    shard, tokens, names, sizes, held = shard + 1, 0, [], [], []
         if names:
             yield file()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t"))
-    tie = F.xxhash64("t")
-    ordered = rows.repartitionByRange("d", tie).sortWithinPartitions("d", tie)
-    return stash(ordered.mapInArrow(work, "part int, shard int, n_docs long, n_tokens long, file binary"), "wavelet")
+    ids = stash(rows.mapInArrow(encoded, "d long, n long, ids binary").withColumn("tie", F.xxhash64("ids")), "ids")
+    ordered = ids.repartitionByRange("d", "tie").sortWithinPartitions("d", "tie")
+    files = stash(ordered.select("d", "n", "ids").mapInArrow(work, "part int, shard int, n_docs long, n_tokens long, file binary"), "wavelet")
+    drop(ids)
+    return files
+
+
+def export(files: DataFrame, folder: str) -> int:
+    """Write each file of the table to folder/part-shard.qswm, a file at a time; returns how many. The folder is one of the driver's file systems."""
+    from pathlib import Path
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    n = 0
+    for r in files.select("part", "shard", "file").toLocalIterator():
+        Path(folder, f"{r['part']:06d}-{r['shard']:06d}.qswm").write_bytes(r["file"])
+        n += 1
+    return n
 
 
 def read(files: DataFrame) -> DataFrame:

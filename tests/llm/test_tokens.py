@@ -88,6 +88,38 @@ def test_wavelet_matrix_reads_like_the_list():
         assert m.count(most + 70000) == 0 and m.count(held[0] if n else 3) == held.count(held[0] if n else 3)
 
 
+def test_access_reads_few_blocks(tmp_path):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 49407, 400_000)
+    made = wavelet.build(np.array([4, 5]), np.array([True, False]), np.array([150_000, 250_000]), ids.astype("<u4"))
+    (tmp_path / "one.qswm").write_bytes(made)
+    with open(tmp_path / "one.qswm", "rb") as f:
+        m = wavelet.WaveletMatrix(f)
+        opened = m.bytes_read
+        assert opened < 0.05 * len(made)
+        assert m.access(123_456) == ids[123_456]
+        assert m.bytes_read - opened <= m.bits * 1.1 * wavelet.SPAN  # a block of each plane, of some 12
+        before = m.bytes_read
+        assert m.rank(int(ids[7]), 300_000) == (ids[:300_000] == ids[7]).sum()
+        assert m.select(int(ids[7]), 0) == np.flatnonzero(ids == ids[7])[0]
+        assert m.bytes_read - before <= 6 * m.bits * 1.1 * wavelet.SPAN
+        names, known, sizes = m.documents()
+        assert known.tolist() == [True, False] and names[0] == 4 and sizes.tolist() == [150_000, 250_000]
+        assert (m.decode() == ids).all()
+
+
+def test_null_ids_and_export(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a b"), (3, None), (3, "c"), (1, "")], "doc_id long, text string")
+    files = wavelet.write(df)
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in wavelet.read(files).collect())
+    assert [d for _, d, _ in rows] == [None, 1, 3, 3] and rows[0][0] == 0
+    n = wavelet.export(files, str(tmp_path))
+    assert n == files.count() == len(list(tmp_path.glob("*.qswm")))
+    with open(next(tmp_path.glob("*.qswm")), "rb") as f:
+        m = wavelet.WaveletMatrix(f)
+        assert m.access(0) == m.decode()[0]
+
+
 def test_wavelet_files_round_trip(documents, docs_list, empty):
     encode = plain("word")
     files = wavelet.write(documents, shard_tokens=20000)
