@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -62,6 +63,8 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--max-critical-issues", type=int, default=0)
     g.add_argument("--format", choices=formats, default="table")
     g.add_argument("--policy", choices=["git", "reported"], default="git")
+    g.add_argument("--include-tests", action="store_true")
+    g.add_argument("--strict", action="store_true", help="a quality of 85 and no critical issue")
     return top
 
 
@@ -73,21 +76,41 @@ def main(argv: list[str] | None = None, base: str = ".quillscan") -> int:
         return analyze(args, spark, points)
     if args.command == "checkpoint":
         if args.action == "create":
-            print(f">> Checkpoint '{args.name}' created with {points.create(args.name, src.read(spark, args.paths, include_hidden=True), args.description)} files")
+            print(f">> Checkpoint '{args.name}' created with {points.create(args.name, src.hashed(spark, args.paths), args.description)} files")
         elif args.action == "list":
-            print("\n".join(f"{x['name']}: {x['file_count']} files ({x['timestamp'][:16]})" for x in points.list()) or "[INFO] No checkpoints found")
+            print(json.dumps(points.list(), indent=2) if args.format == "json" else "\n".join(f"{x['name']}: {x['file_count']} files ({x['timestamp'][:16]})" for x in points.list()) or "[INFO] No checkpoints found")
         elif args.action == "show":
             print(points.get(args.name), *[f"  {r['path']} ({r['size']})" for r in points.files(args.name).toLocalIterator()], sep="\n")
         elif args.action == "diff":
-            print(report.diff_text(points.compare(args.checkpoint, src.read(spark, args.paths or ["."], include_hidden=True)), args.checkpoint, args.format))
+            print(report.diff_text(points.compare(args.checkpoint, src.hashed(spark, args.paths or ["."])), args.checkpoint, args.format))
         else:
             print(f">> Checkpoint '{args.name}' deleted" if points.delete(args.name, args.confirm) else "Checkpoint deletion requires --confirm flag for safety")
         return 0
     if args.command == "patterns":
         return patterns(args, spark, store)
-    paths = [r["path"] for r in control.gate_files(src.git_changes(spark), spark.createDataFrame([(f,) for f in args.files], "path string"), args.policy).collect()]
-    held = [r for lang in rules.LANGUAGES for r in store.playbook(lang) or []] + rules.load_playbooks("playbooks", warn=lambda m: print(m, file=sys.stderr))
+    return verify(args, spark, store)
+
+
+def verify(args, spark: SparkSession, store: control.LearnedRules) -> int:
+    """The gate over changed (or reported) files, test files left out; warns of changed files that were not reported."""
+    from pyspark.sql import functions as F
+
+    from quillscan.functions import classify
+
+    warn = lambda m: print(m, file=sys.stderr)
+    if args.strict:
+        args.min_quality_score, args.max_critical_issues = control.STRICT["min_quality"], control.STRICT["max_critical"]
+    reported = spark.createDataFrame([(f,) for f in args.files], "path string")
+    changed = src.git_changes(spark)
+    hidden = [r["path"] for r in control.hidden_files(changed, reported).orderBy("path").collect()] if args.files else []
+    if hidden:
+        warn(f"{len(hidden)} changed files were not reported: {', '.join(hidden)}")
+    paths = [r["path"] for r in control.gate_files(changed, reported, args.policy).collect()]
+    held = store.rules(rules.LANGUAGES, warn) + rules.load_playbooks("playbooks", warn=warn)
     data = src.read(spark, paths)
+    if not args.include_tests:
+        test = classify.combined(classify.path_part(F.col("path")), classify.content_part(F.col("content"), F.col("path")))
+        data = data.where(test["confidence"] < 0.3)
     found = match.detect(data, held, symbols=src.symbols(data)) if held else spark.createDataFrame([], "path string, seq int, rule_id string, rule_name string, severity string, line_no int, column int, snippet string, context string")
     results = score.file_results(data, found)
     row = control.gate(score.summary(results), args.min_quality_score, args.max_critical_issues).first()
@@ -104,13 +127,15 @@ def analyze(args, spark: SparkSession, points: control.Checkpoints) -> int:
     from quillscan.functions import classify
 
     forced = args.force_language if args.force_language in BY_EXTENSION.values() else None
-    data = src.read(spark, args.paths, include_hidden=args.include_hidden, extensions=args.extensions.split(",") if args.extensions else None, exclude=[x for x in (args.exclude or "").split(",") if x], max_bytes=int(args.max_file_size_mb * 1024 * 1024))
+    if args.force_language and not forced:
+        print(f"unknown language {args.force_language}: languages are told by extension", file=sys.stderr)
+    data = src.read(spark, args.paths, include_hidden=args.include_hidden, extensions=args.extensions.split(",") if args.extensions else None, exclude=[args.exclude] if args.exclude else [], max_bytes=int(args.max_file_size_mb * 1024 * 1024))
     if not args.include_tests:
         test = classify.combined(classify.path_part(F.col("path")), classify.content_part(F.col("content"), F.col("path")))
         data = data.where(test["confidence"] < args.test_confidence)
     changes = None
     if args.diff_checkpoint:
-        change = points.compare(args.diff_checkpoint, data)
+        change = points.compare(args.diff_checkpoint, src.hashed(spark, args.paths))
         counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
         changes = {k: counts.get(k, 0) for k in ("new", "changed", "deleted")}
         data = control.changed_files(data, change)
@@ -120,7 +145,7 @@ def analyze(args, spark: SparkSession, points: control.Checkpoints) -> int:
         results = results.withColumn("language", F.lit(forced))
     detections = found if args.detailed else None
     if args.format == "json":
-        out = "\n".join(r["json"] for r in report.as_json(results, found).toLocalIterator())
+        out = json.dumps(json.loads(report.envelope(results, found).first()["json"]), indent=2, ensure_ascii=False)
     elif args.format == "compact":
         out = "\n".join(r["line"] for r in report.compact(results).orderBy("path").toLocalIterator())
     else:
@@ -131,7 +156,7 @@ def analyze(args, spark: SparkSession, points: control.Checkpoints) -> int:
     else:
         print(out)
     if args.checkpoint:
-        points.create(args.checkpoint, src.read(spark, args.paths, include_hidden=True))
+        points.create(args.checkpoint, src.hashed(spark, args.paths))
     return 0
 
 

@@ -5,16 +5,9 @@ class QuillscanError(Exception):
     """Any error of this package."""
 
 
-class FileSystemError(QuillscanError): ...
 class ParseError(QuillscanError): ...
 class PlaybookError(QuillscanError): ...
 class InvalidRuleError(PlaybookError): ...
 class ConfigurationError(QuillscanError): ...
-class AnalysisError(QuillscanError): ...
-class UnsupportedLanguageError(QuillscanError): ...
-class SerializationError(QuillscanError): ...
 class CheckpointError(QuillscanError): ...
-class GitError(QuillscanError): ...
-class WatchError(QuillscanError): ...
-class ThreadingError(QuillscanError): ...
 class NotSupportedError(QuillscanError): ...

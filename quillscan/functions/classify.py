@@ -76,52 +76,111 @@ def path_part(path: Column) -> Column:
     return F.struct(total.alias("confidence"), F.coalesce(kind, name_kind, F.lit("NotTest")).alias("test_type"))
 
 
-def _each(lines: Column, hit, value: float, start: Column) -> Column:
-    """start, with value added once for each line that is hit."""
-    return F.aggregate(F.filter(lines, hit), start, lambda s, _: s + F.lit(value))
+def _added(start: Column, n: Column, value: float) -> Column:
+    """start, with value added n times, one after the other."""
+    return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: s + F.lit(value))
 
 
-def content_part(content: Column, path: Column) -> Column:
-    """struct<confidence, test_type> of a content; test_type is NotTest where nothing sets one. A later marker's type takes the place of an earlier one's."""
-    low, rows = F.lower(content), text.lines(F.lower(content))
-
-    def marked(language: str) -> tuple[Column, Column]:
-        value, kind = F.lit(0.0), F.lit("NotTest")
-        for parts, points, what in MARKERS[language]:
-            hit = _has(low, parts)
-            value = value + _points(hit, points)
-            if what:
-                kind = F.when(hit, F.lit(what)).otherwise(kind)
-        return value, kind
-
-    rust, rust_kind = marked("rust")
-    rust = _each(rows, lambda x: x.startswith("use") & (x.contains("test") | x.contains("mock")), 0.2, rust)
-    python, python_kind = marked("python")
-    methods = lambda x: text.trim_ws(x).startswith("def test_")
-    # a line adds 0.3, then 0.2, in the order of lines
-    python = F.aggregate(rows, python, lambda s, x: s + _points(methods(x), 0.3) + _points(text.trim_ws(x).contains("assert "), 0.2))
-    python_kind = F.when((python_kind == "NotTest") & F.exists(rows, methods), F.lit("UnitTest")).otherwise(python_kind)
+def _marked(low: Column, language: str) -> tuple[Column, Column]:
+    value, kind = F.lit(0.0), F.lit("NotTest")
+    for parts, points, what in MARKERS[language]:
+        hit = _has(low, parts)
+        value = value + _points(hit, points)
+        if what:
+            kind = F.when(hit, F.lit(what)).otherwise(kind)
+    return value, kind
+
+
+def _lines_with(low: Column, what: str) -> Column:
+    """The lines that hold something; the expression runs only over texts that do."""
+    found = F.regexp_extract_all(low, F.lit(rf"(?dm)^.*(?:{what}).*"), F.lit(0))
+    return F.when(low.rlike(what), found).otherwise(F.array().cast("array<string>"))
+
+
+def _rust(low: Column) -> Column:
+    value, kind = _marked(low, "rust")
+    uses = F.when(low.contains("use"), F.regexp_count(low, F.lit("(?dm)^use.*(?:test|mock).*"))).otherwise(F.lit(0))
+    return _part(F.when(uses > 0, _added(value, F.greatest(uses, F.lit(1)), 0.2)).otherwise(value), kind)
+
+
+def _python(low: Column) -> Column:
+    value, kind = _marked(low, "python")
+    test, claim = r"(?U)^\s*def test_", r"(?U)assert .*\S"  # on a line without the white space around it
+    rows = _lines_with(low, "def test_|assert ")
     suite = _has(low, ("class test", "(unittest.testcase)"))
-    python, python_kind = python + _points(suite, 0.3), F.when(suite, F.lit("UnitTest")).otherwise(python_kind)
-    script, script_kind = F.lit(0.0), F.lit("NotTest")
+
+    def of_rows(x: Column) -> Column:
+        # a line adds 0.3, then 0.2, in the order of lines
+        total = F.aggregate(x, value, lambda s, line: s + _points(line.rlike(test), 0.3) + _points(line.rlike(claim), 0.2))
+        named = F.when((kind == "NotTest") & F.exists(x, lambda line: line.rlike(test)), F.lit("UnitTest")).otherwise(kind)
+        return _part(total + _points(suite, 0.3), F.when(suite, F.lit("UnitTest")).otherwise(named))
+
+    return _once(rows, of_rows)
+
+
+def _script(low: Column) -> Column:
+    value, kind = F.lit(0.0), F.lit("NotTest")
     for f in FRAMEWORKS:
         hit = _has(low, (f"import {f}", f"require('{f}')", f'require("{f}")'))
-        script, script_kind = script + _points(hit, 0.4), F.when(hit, F.lit("UnitTest")).otherwise(script_kind)
+        value, kind = value + _points(hit, 0.4), F.when(hit, F.lit("UnitTest")).otherwise(kind)
     for f in CALLS:
-        script, script_kind = script + _points(low.contains(f), 0.3), F.when(low.contains(f), F.lit("UnitTest")).otherwise(script_kind)
-    go, go_kind = marked("go")
-    tests = lambda x: text.trim_ws(x).startswith("func test") & x.contains("*testing.t")
-    benches = lambda x: text.trim_ws(x).startswith("func benchmark") & x.contains("*testing.b")
-    go = F.aggregate(rows, go, lambda s, x: s + _points(tests(x), 0.4) + _points(benches(x), 0.4))
-    last = F.element_at(F.filter(rows, lambda x: tests(x) | benches(x)), -1)
-    go_kind = F.when(F.exists(rows, lambda x: tests(x) | benches(x)), F.when(benches(last), F.lit("BenchmarkTest")).otherwise(F.lit("UnitTest"))).otherwise(go_kind)
+        value, kind = value + _points(low.contains(f), 0.3), F.when(low.contains(f), F.lit("UnitTest")).otherwise(kind)
+    return _part(value, kind)
+
+
+def _go(low: Column) -> Column:
+    value, kind = _marked(low, "go")
+    tests = lambda x: x.rlike(r"(?U)^\s*func test") & x.contains("*testing.t")
+    benches = lambda x: x.rlike(r"(?U)^\s*func benchmark") & x.contains("*testing.b")
+
+    def of_rows(x: Column) -> Column:
+        total = F.aggregate(x, value, lambda s, line: s + _points(tests(line), 0.4) + _points(benches(line), 0.4))
+        last = F.get(F.filter(x, lambda line: tests(line) | benches(line)), F.size(F.filter(x, lambda line: tests(line) | benches(line))) - 1)
+        return _part(total, F.when(last.isNull(), kind).when(benches(last), F.lit("BenchmarkTest")).otherwise(F.lit("UnitTest")))
+
+    return _once(_lines_with(low, "func test|func benchmark"), of_rows)
+
+
+def _other(low: Column) -> Column:
     found = sum((F.when(low.contains(w), 1).otherwise(0) for w in GENERIC), F.lit(0))
-    generic, generic_kind = _points(found >= 3, 0.2), F.when(found >= 3, F.lit("Unknown")).otherwise(F.lit("NotTest"))
+    return F.when(found >= 3, _part(F.lit(0.2), F.lit("Unknown"))).otherwise(_part(F.lit(0.0), F.lit("NotTest")))
+
+
+def _part(confidence: Column, kind: Column) -> Column:
+    return F.struct(confidence.alias("confidence"), kind.alias("test_type"))
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def content_part(content: Column, path: Column) -> Column:
+    """struct<confidence, test_type> of a content; test_type is NotTest where nothing sets one. A later marker's type takes the place of an earlier one's.
+
+    The content is brought to lower case once, and only its language's ladder is climbed.
+    """
+    lang = text.classified_language(path)
+    ladders = ((("rust",), _rust), (("python",), _python), (("javascript", "typescript"), _script), (("go",), _go))
+
+    def climb(low: Column) -> Column:
+        out = _other(low)
+        for names, ladder in reversed(ladders):
+            out = F.when(lang.isin(*names), ladder(low)).otherwise(out)
+        return out
+
+    return _once(F.lower(content), climb)
+
+
+def indicators(content: Column, path: Column) -> Column:
+    """array<string>: what speaks for a test: directory, name, keyword and content markers that are found, in this order."""
+    up, name, whole, low = F.lower(text.parent(path)), F.lower(text.file_name(path)), F.lower(path), F.lower(content)
+    found = [F.when(_has(up, inside), F.lit(f"directory: {inside[0]}")) for inside, *_ in DIRECTORIES]
+    found += [F.when(name.rlike(p), F.lit(f"name: {p}")) for p, *_ in NAMES]
+    found += [F.when(whole.contains(w), F.lit(f"keyword: {w}")) for w in KEYWORDS]
     lang = text.classified_language(path)
-    value, kind = generic, generic_kind
-    for names, v, k in ((("rust",), rust, rust_kind), (("python",), python, python_kind), (("javascript", "typescript"), script, script_kind), (("go",), go, go_kind)):
-        value, kind = F.when(lang.isin(*names), v).otherwise(value), F.when(lang.isin(*names), k).otherwise(kind)
-    return F.struct(value.alias("confidence"), kind.alias("test_type"))
+    found += [F.when((lang == language) & _has(low, parts), F.lit(f"content: {parts[0]}")) for language, rows in MARKERS.items() for parts, *_ in rows]
+    return F.array_compact(F.array(*found))
 
 
 def combined(of_path: Column, of_content: Column) -> Column:
@@ -131,6 +190,11 @@ def combined(of_path: Column, of_content: Column) -> Column:
     return F.struct((confidence > LIMIT).alias("is_test"), confidence.alias("confidence"), kind.alias("test_type"))
 
 
+def classified(content: Column, path: Column) -> Column:
+    """struct<is_test, confidence, test_type, indicators, should_suppress> of a file."""
+    return _once(combined(path_part(path), content_part(content, path)), lambda t: F.struct(t["is_test"].alias("is_test"), t["confidence"].alias("confidence"), t["test_type"].alias("test_type"), indicators(content, path).alias("indicators"), t["is_test"].alias("should_suppress")))
+
+
 def suppressed(rule_id: Column, is_test: Column) -> Column:
     return is_test & _has(rule_id, SUPPRESSED)
 

@@ -57,11 +57,11 @@ def trim_ws(x: Column) -> Column:
 
 def is_comment(line: Column) -> Column:
     """Whether a line counts as a comment for rules: only by how it starts, whatever the language."""
-    return trim_ws(line).rlike(r"""^(//|#|/\*|\*|\"\"\"|''')""")
+    return line.rlike(r"""(?U)^\s*(//|#|/\*|\*|\"\"\"|''')""")
 
 
 def is_metric_comment(line: Column) -> Column:
-    return trim_ws(line).rlike(r"^(//|#|/\*)")
+    return line.rlike(r"(?U)^\s*(//|#|/\*)")
 
 
 def context(rows: DataFrame, around: int = 2) -> DataFrame:

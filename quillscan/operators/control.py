@@ -5,29 +5,32 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.errors import CheckpointError, QuillscanError
+from quillscan.errors import CheckpointError, ConfigurationError, ParseError, QuillscanError
 from quillscan.operators.rules import Rule, check_pattern
 
 # --- checkpoints -----------------------------------------------------------
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """(path, size, content_hash) and, where there is one, modified_time; one row for a path."""
+    """(path, size, content_hash) and, where there is one, modified_time; one row for a path. Hashed files (sources.files.hashed) are taken as they are."""
     extra = ["modified_time"] if "modified_time" in files.columns else []
+    if "content_hash" in files.columns:
+        return files.select("path", "size", "content_hash", *extra).dropDuplicates(["path"])
     return files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2(F.col("content").cast("string"), 256).alias("content_hash"), *extra).dropDuplicates(["path"])
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change): new, changed or deleted. One full outer join on the path."""
-    a, b = old.select("path", F.col("content_hash").alias("was")), new.select("path", F.col("content_hash").alias("now"))
-    change = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed")
+    # a content can be null, so presence is told by markers
+    a, b = (x.select("path", F.col("content_hash").alias(h), F.lit(True).alias(m)) for x, h, m in ((old, "was", "had"), (new, "now", "has")))
+    change = F.when(F.col("had").isNull(), "new").when(F.col("has").isNull(), "deleted").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
@@ -121,6 +124,39 @@ def task_states(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return sums.select("id", quality.alias("quality"), criticals.alias("criticals"), status.alias("status"), ((F.col("n") > 0) & ok).alias("verified"))
 
 
+@dataclass
+class Tasks:
+    """Tasks (id, title, files, quality_threshold, max_critical_issues, status) in one JSON file."""
+
+    path: str
+
+    def list(self) -> list[dict]:
+        return json.loads(Path(self.path).read_text()) if Path(self.path).exists() else []
+
+    def _save(self, tasks: list[dict]) -> None:
+        Path(self.path).parent.mkdir(parents=True, exist_ok=True)
+        Path(self.path).write_text(json.dumps(tasks, indent=1))
+
+    def create(self, title: str, files: list[str], quality_threshold: float = 80.0, max_critical_issues: int = 0) -> str:
+        new = str(uuid.uuid4())
+        self._save([*self.list(), {"id": new, "title": title, "files": files, "quality_threshold": quality_threshold, "max_critical_issues": max_critical_issues, "status": "pending"}])
+        return new
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(t["id"], t["files"], float(t["quality_threshold"]), t["max_critical_issues"]) for t in self.list()]
+        return spark.createDataFrame(rows, "id string, files array<string>, quality_threshold double, max_critical_issues int")
+
+    def verify(self, results: DataFrame) -> list[dict]:
+        """Every task's state under the file results (path, score, criticals); the states are kept."""
+        states = {r["id"]: r.asDict() for r in task_states(self.table(results.sparkSession), results).collect()}
+        self._save([t | {"status": states[t["id"]]["status"]} for t in self.list()])
+        return [states[t["id"]] for t in self.list()]
+
+    def complete(self, task: str, results: DataFrame) -> bool:
+        """Whether the task is complete now: only if its files pass."""
+        return any(s["id"] == task and s["status"] == "completed" for s in self.verify(results))
+
+
 # --- learned rules ---------------------------------------------------------
 
 
@@ -132,6 +168,22 @@ class LearningConfig:
     pattern_expiry_days: int = 30
     learning_rate: float = 1.0
 
+    @classmethod
+    def load(cls, path: Path) -> "LearningConfig":
+        """The file's configuration; where there is none, the defaults, which are written there."""
+        if not path.exists():
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(json.dumps(asdict(cls()), indent=1))
+            return cls()
+        try:
+            return cls(**json.loads(path.read_text()))
+        except (ValueError, TypeError) as e:
+            raise ConfigurationError(f"{path}: {e}") from e
+
+
+#: The folders of a store.
+FOLDERS = ("patterns", "patterns/rust", "patterns/python", "patterns/typescript", "patterns/javascript", "patterns/go", "patterns/c", "patterns/cpp", "analysis", "analysis/sessions", "analysis/reports", "analysis/reports/daily", "analysis/reports/weekly", "database", "config", "logs")
+
 
 LEARNED = "id string, name string, language string, severity string, scope string, pattern string, confidence double, detection_count long, false_positive_count long, active boolean, source string, created_at string"
 
@@ -143,15 +195,20 @@ class LearnedRules:
         self.base, self.config = Path(base), config or LearningConfig()
 
     def bootstrap(self) -> None:
-        for name in ("patterns", "checkpoints", "config", "analysis"):
+        """Make the store's folders and read its configuration."""
+        for name in FOLDERS:
             (self.base / name).mkdir(parents=True, exist_ok=True)
+        self.config = LearningConfig.load(self.base / "config" / "learning-config.json")
 
     def _file(self, language: str) -> Path:
         return self.base / "patterns" / language / "learned-patterns.json"
 
     def rows(self, language: str) -> list[dict]:
         p = self._file(language)
-        return json.loads(p.read_text()) if p.exists() else []
+        try:
+            return json.loads(p.read_text()) if p.exists() else []
+        except ValueError as e:
+            raise ParseError(f"{p}: {e}") from e
 
     def save(self, language: str, rows: list[dict]) -> None:
         self._file(language).parent.mkdir(parents=True, exist_ok=True)
@@ -196,6 +253,14 @@ class LearnedRules:
         out = [Rule(r["id"], r["name"], r["severity"], r["scope"], r["pattern"], language, f"learned-{language}") for r in self.rows(language) if r["active"]]
         return out or None
 
+    def rules(self, languages, warn=print) -> list[Rule]:
+        """The active rules of all languages. A store that can't be read is warned of and left out: the rules it stands beside still run."""
+        try:
+            return [r for lang in languages for r in self.playbook(lang) or []]
+        except (QuillscanError, OSError, KeyError, TypeError) as e:
+            warn(f"learned rules are left out: {e}")
+            return []
+
     def table(self, spark: SparkSession, languages) -> DataFrame:
         names = [x.split()[0] for x in LEARNED.split(", ")]
         return spark.createDataFrame([tuple(r[n] for n in names) for lang in languages for r in self.rows(lang)], LEARNED)
@@ -203,12 +268,10 @@ class LearnedRules:
 
 def learned_stats(learned: DataFrame) -> DataFrame:
     """(grouped, language, severity, n, mean_confidence, detections) for languages, severities and all."""
-    learned.createOrReplaceTempView("_learned_rules")
-    return learned.sparkSession.sql(
-        """SELECT CASE WHEN grouping(language) = 0 THEN 'language' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'all' END AS grouped,
-        language, severity, count(*) AS n, coalesce(avg(confidence), 0D) AS mean_confidence, coalesce(sum(detection_count), 0) AS detections
-        FROM _learned_rules GROUP BY GROUPING SETS ((language), (severity), ())"""
-    )
+    sets = learned.groupingSets([["language"], ["severity"], []], "language", "severity")
+    kind = F.when(F.grouping("language") == 0, "language").when(F.grouping("severity") == 0, "severity").otherwise("all")
+    rows = sets.agg(kind.alias("grouped"), F.count("*").alias("n"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"), F.coalesce(F.sum("detection_count"), F.lit(0)).alias("detections"))
+    return rows.select("grouped", "language", "severity", "n", "mean_confidence", "detections")
 
 
 def top_learned(learned: DataFrame, n: int = 10) -> DataFrame:

@@ -24,6 +24,15 @@ def as_json(results: DataFrame, detections: DataFrame) -> DataFrame:
     return rows.select("path", F.to_json(F.struct(F.col("path").alias("file_path"), "language", F.col("score").alias("quality_score"), "detections")).alias("json"))
 
 
+def envelope(results: DataFrame, detections: DataFrame) -> DataFrame:
+    """(json): one row, the whole run: totals and every file's result. For reports; the results of a table are as_json()."""
+    files = as_json(results, detections).agg(F.sort_array(F.collect_list(F.struct("path", "json"))).alias("f"))
+    rows = score.summary(results).join(files)  # a row each
+    body = F.concat(F.lit("["), F.array_join(F.transform("f", lambda x: x["json"]), ","), F.lit("]"))
+    totals = F.to_json(F.struct("total_files", "total_detections", "critical_issues", "average_quality_score"))
+    return rows.select(totals.alias("t"), body.alias("b")).select(F.concat(F.expr("substring(t, 1, length(t) - 1)"), F.lit(',"file_results":'), F.col("b"), F.lit("}")).alias("json"))
+
+
 def _rows(results: DataFrame, detections: DataFrame | None):
     """Files with detections, in order, one partition of results at a time, each with its detections."""
     files = results.where("issues > 0")

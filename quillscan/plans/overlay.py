@@ -14,14 +14,17 @@ _DIRS = ("src", "a/tests", "a/test", "spec", "integration", "e2e", "benches", "m
 _STEMS = ("main", "test_unit", ".hidden", "a_test", "util", "fixture", "lib")
 _EXTS = (".rs", ".py", ".ts", ".js", ".go", ".cpp", ".txt", "")
 SNIPPETS = {
-    0: ("fn a() {|    // TODO: finish|    unimplemented!()|}", "fn b() {|    let x = q.unwrap().unwrap(); // é|    é.unwrap(); dbg!(x)|}", "#[test]|fn c() {|    assert!(true);|    q.unwrap(); return 42; // mock|}", "fn d() {|    return 42; // mock number|    Err(_) => {} // FIXME: x|}"),
-    1: ("def a(x=[]):|    # FIXME: later|    raise NotImplementedError", "def b():|    try: go()|    except: pass|    return None", "import pytest|def test_c():|    assert False|    # hack for now", "class T:|    def d(self):|        eval(x)|        return [1]"),
-    2: ("function a(x: any) {|    // @ts-ignore|    return x as any;|}", "function b() {|    console.log(\"debug\");|    return null|}", "describe(() => {|    it(() => { return 1; });|});", "function d() {|    // TODO: x|    throw new Error(\"not implemented\")|}"),
-    3: ("function e() { }", "function f(a, b) { return a }", "expect(1)|function g() {}", "const jest = 1"),
-    4: ("import \"testing\"|func TestA(t *testing.T) {|}", "func BenchmarkB(b *testing.B) {|}", "func c() {|}", "package d"),
-    5: ("int setup() { assert(mock()); }", "int b() { return ((1)); }", "// verify before expect|int c() {}", "struct D { int x[3]; };"),
-    6: ("plain",) * 4,
-    7: ("plain",) * 4,
+    0: ("fn a() {|    // TODO: finish|    unimplemented!()|}", "fn b() {|    let x = q.unwrap().unwrap(); // é|    é.unwrap(); dbg!(x)|}", "#[test]|fn c() {|    assert!(true);|    q.unwrap(); return 42; // mock|}", "fn d() {|    return 42; // mock number|    Err(_) => {} // FIXME: x|}",
+        "fn check(u) {|    // same as above|    // quick fix|    if validate(u) { return true; }|    panic!(\"TODO: later\");|    Ok(()) // placeholder|}", "fn e() {|    let n = 42; // magic|    sleep(5); // simulate|    return Err(\"failed\");|    x.expect(\"TODO: why\");|    Config::default(); // lazy|}"),
+    1: ("def a(x=[]):|    # FIXME: later|    raise NotImplementedError", "def b():|    try: go()|    except: pass|    return None", "import pytest|def test_c():|    assert False|    # hack for now", "class T:|    def d(self):|        eval(x)|        return [1]",
+        "def check():|    # same as above|    if verify(u): return True|    n = 42  # placeholder|    time.sleep(5)  # simulate|    raise (\"failed\")|def p(): pass", "class Z:|    def q(self):|        return 1"),
+    2: ("function a(x: any) {|    // @ts-ignore|    return x as any;|}", "function b() {|    console.log(\"debug\");|    return null|}", "describe(() => {|    it(() => { return 1; });|});", "function d() {|    // TODO: x|    throw new Error(\"not implemented\")|}",
+        "function check(u) {|    // same as above|    // quick fix|    if (validate(u)) return true;|    setTimeout(go, 10); // simulate|    try { go(); } catch (e) { }|    return [1]; // mock|}", "function z() { }|throw (\"failed\");|return Promise.resolve(null); // placeholder"),
+    3: ("function e() { }", "function f(a, b) { return a }", "expect(1)|function g() {}", "const jest = 1", "import jest", "let x = 1"),
+    4: ("import \"testing\"|func TestA(t *testing.T) {|}", "func BenchmarkB(b *testing.B) {|}", "func c() {|}", "package d", "func TestB(t *testing.T) {|}|func BenchmarkC(b *testing.B) {|}", "package e"),
+    5: ("int setup() { assert(mock()); }", "int b() { return ((1)); }", "// verify before expect|int c() {}", "struct D { int x[3]; };", "int e;", "int f;"),
+    6: ("plain",) * 6,
+    7: ("plain",) * 6,
 }
 
 
@@ -34,7 +37,7 @@ def _code(snippet: str) -> str:
 
 
 PATH = f"source || '/' || {_case('doc_id % 9', _DIRS)} || '/' || {_case('doc_id % 7', _STEMS)} || CAST(doc_id AS STRING) || {_case('doc_id % 8', _EXTS)}"
-_PICK = "CAST(floor(doc_id / 8) AS BIGINT) % 4"
+_PICK = "CAST(floor(doc_id / 8) AS BIGINT) % 6"
 SNIPPET = "CASE doc_id % 8 " + " ".join(f"WHEN {e} THEN CASE {_PICK} " + " ".join(f"WHEN {i} THEN {_code(s)}" for i, s in enumerate(picks)) + " END" for e, picks in SNIPPETS.items()) + " END"
 CONTENT = f"coalesce(text, '') || chr(10) || {SNIPPET}"
 

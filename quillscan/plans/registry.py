@@ -230,9 +230,9 @@ def _detected(spark, sf):
     return data, match.detect(data, ALL, symbols=overlay.symbols(data))
 
 
-@query(_DETECTED + "SELECT path, rule_id, severity, line_no, snippet, context FROM det")
+@query(_DETECTED + "SELECT path, seq, rule_id, severity, line_no, snippet, context FROM det")
 def detections(spark, sf):
-    return _detected(spark, sf)[1].select("path", "rule_id", "severity", F.col("line_no").cast("int").alias("line_no"), "snippet", "context")
+    return _detected(spark, sf)[1].select("path", "seq", "rule_id", "severity", F.col("line_no").cast("int").alias("line_no"), "snippet", "context")
 
 
 # --- scores ---------------------------------------------------------------------
@@ -272,6 +272,13 @@ def assess_simple(spark, sf):
     return score.assessment(_detected(spark, sf)[1]).select("path", "maintainability", "reliability", "security", "completeness", F.round("overall", 6).alias("overall"))
 
 
+@query(_DETECTED + _ASSESS + """SELECT tp AS path, coalesce(maintainability, 100) AS maintainability, coalesce(reliability, 100) AS reliability, coalesce(security, 100) AS security, coalesce(completeness, 100) AS completeness,
+round(coalesce(maintainability, 100) * 0.25 + coalesce(reliability, 100) * 0.3 + 20 + coalesce(security, 100) * 0.15 + coalesce(completeness, 100) * 0.1, 6) AS overall FROM t LEFT JOIN a ON a.path = tp""")
+def assess_files(spark, sf):
+    data, found = _detected(spark, sf)
+    return score.assessment(found, data).select("path", "maintainability", "reliability", "security", "completeness", F.round("overall", 6).alias("overall"))
+
+
 @query(_DETECTED + f"SELECT CASE WHEN {_un} THEN 'High' WHEN {_uw} THEN 'Medium' WHEN {_pa} THEN 'High' ELSE 'Low' END AS impact, count(*)::BIGINT AS n FROM det GROUP BY 1")
 def impact_text(spark, sf):
     return _detected(spark, sf)[1].groupBy(score.impact(F.col("rule_id")).alias("impact")).agg(F.count("*").alias("n"))
@@ -299,9 +306,34 @@ def metrics_nesting(spark, sf):
     return score.metrics(files(spark, sf)).select("path", "nesting_depth")
 
 
-@query(_DETECTED + "SELECT path, least(count(*), 3)::BIGINT AS shown, greatest(count(*) - 3, 0)::BIGINT AS more FROM det GROUP BY path")
+@query(_DETECTED + """, n AS (SELECT path, rule_id, line_no, row_number() OVER (PARTITION BY path ORDER BY seq, line_no) AS rn, greatest(count(*) OVER (PARTITION BY path) - 3, 0)::BIGINT AS more FROM det)
+SELECT path, rule_id, line_no, rn::INT AS rn, more FROM n WHERE rn <= 3""")
 def report_top3(spark, sf):
-    return score.first_per_file(_detected(spark, sf)[1]).groupBy("path").agg(F.count("*").alias("shown"), F.max("more").alias("more"))
+    rows = score.first_per_file(_detected(spark, sf)[1])
+    return rows.select("path", "rule_id", F.col("line_no").cast("int").alias("line_no"), F.col("rn").cast("int").alias("rn"), F.col("more").cast("long").alias("more"))
+
+
+@query(_DETECTED + "SELECT path, count(*) FILTER (severity = 'Critical')::BIGINT AS criticals, count(*) FILTER (severity = 'High')::BIGINT AS highs FROM det GROUP BY path")
+def severe_counts(spark, sf):
+    return score.severe_counts(_detected(spark, sf)[1])
+
+
+@query(CTE + """ SELECT path, count(*) FILTER (kind IN ('function', 'method'))::BIGINT AS n_functions, count(*) FILTER (kind NOT IN ('function', 'method'))::BIGINT AS n_types,
+array_to_string(list_sort(list_distinct(list(sname) FILTER (kind IN ('function', 'method')))), ',') AS functions FROM s GROUP BY path""")
+def symbol_summary(spark, sf):
+    return score.symbol_summary(overlay.symbols(files(spark, sf))).withColumn("functions", F.array_join("functions", ","))
+
+
+@query(CTE + """ SELECT path, 2 + (doc_id % 2) AS n_functions, 1 - (doc_id % 2) AS n_types, len(list_filter(ls, lambda x: regexp_matches(lower(x), '(check|validate|verify|assert)')))::BIGINT AS n_validations FROM f""")
+def semantic_summary(spark, sf):
+    data = files(spark, sf)
+    return score.semantic_summary(data, overlay.symbols(data)).select("path", "n_functions", "n_types", "n_validations")
+
+
+@query("SELECT event_id, user_id, round(lag(value) OVER w, 6) AS before, round(value - lag(value) OVER w, 6) AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def run_trend(spark, sf):
+    rows = score.run_trend(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "event_id", "value")
+    return rows.select("event_id", "user_id", F.round("before", 6).alias("before"), F.round("change", 6).alias("change"))
 
 
 @query(_DETECTED + "SELECT path, arg_max(severity, CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS severity FROM det GROUP BY path")
@@ -314,18 +346,21 @@ def report_compact(spark, sf):
     return report.compact(score_file(spark, sf))
 
 
-@query(CTE + """ SELECT path, line_no, coalesce(array_to_string(list(line) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS before FROM l""")
+@query(CTE + """ SELECT path, line_no, coalesce(array_to_string(list(line) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS before,
+coalesce(array_to_string(list(line) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), chr(10)), '') AS after FROM l""")
 def context_window(spark, sf):
-    return text.context(text.exploded(files(spark, sf), "path")).select("path", "line_no", F.array_join("before", "\n").alias("before"))
+    return text.context(text.exploded(files(spark, sf), "path")).select("path", "line_no", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
 # --- checkpoints, gates, tasks --------------------------------------------------
 
 
 def _two(spark, sf):
-    data = files(spark, sf)
-    old = data.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
-    return control.snapshot(old), control.snapshot(data.where("doc_id % 11 <> 0"))
+    """Two states of all files: some renamed, some changed, some with null contents."""
+    data, every = files(spark, sf), lambda n: F.col("doc_id") % n == 0
+    old = data.withColumns({"path": F.when(every(5), F.concat("path", F.lit(".old"))).otherwise(F.col("path")), "content": F.when(every(13), None).when(every(7), F.concat("content", F.lit("x"))).otherwise(F.col("content"))})
+    new = data.withColumns({"path": F.when(every(11), F.concat("path", F.lit(".new"))).otherwise(F.col("path")), "content": F.when(every(17), None).otherwise(F.col("content"))})
+    return control.snapshot(old), control.snapshot(new)
 
 
 @query(CTE + " SELECT path, size_bytes::BIGINT AS size, sha256(content) AS content_hash FROM f")
@@ -333,8 +368,9 @@ def ckpt_snapshot(spark, sf):
     return control.snapshot(files(spark, sf))
 
 
-_DIFF = CTE + """, o AS (SELECT path, content || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END AS c FROM f WHERE doc_id % 5 <> 0), w AS (SELECT path, content AS c FROM f WHERE doc_id % 11 <> 0),
-x AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN w.path IS NULL THEN 'deleted' WHEN o.c <> w.c THEN 'changed' END AS change FROM o FULL JOIN w ON o.path = w.path) """
+_DIFF = CTE + """, o AS (SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.old' ELSE '' END AS path, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE content || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END END AS c FROM f),
+w AS (SELECT path || CASE WHEN doc_id % 11 = 0 THEN '.new' ELSE '' END AS path, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE content END AS c FROM f),
+x AS (SELECT coalesce(o.path, w.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN w.path IS NULL THEN 'deleted' WHEN o.c IS DISTINCT FROM w.c THEN 'changed' END AS change FROM o FULL JOIN w ON o.path = w.path) """
 
 
 @query(_DIFF + "SELECT path, change FROM x WHERE change IS NOT NULL")
@@ -347,10 +383,11 @@ def ckpt_incremental(spark, sf):
     return control.changed_files(files(spark, sf), control.diff(*_two(spark, sf))).select("path", "language")
 
 
-@query(CTE + " SELECT path FROM f WHERE doc_id % 3 = 0 AND NOT doc_id % 2 = 0")
+@query(CTE + """, d AS (SELECT path || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.draft' END AS path FROM f), r AS (SELECT path || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '.old' END AS path FROM f)
+SELECT path FROM d WHERE path NOT IN (SELECT path FROM r)""")
 def gate_hidden_files(spark, sf):
-    data = files(spark, sf)
-    return control.hidden_files(data.where("doc_id % 3 = 0").select("path"), data.where("doc_id % 2 = 0").select("path"))
+    named = lambda n, other: files(spark, sf).select(F.when(F.col("doc_id") % n == 0, F.col("path")).otherwise(F.concat("path", F.lit(other))).alias("path"))
+    return control.hidden_files(named(3, ".draft"), named(2, ".old"))
 
 
 @query(_RES + """, k AS (SELECT doc_id // 10 AS id, tp AS path FROM t), q AS (SELECT id, avg(score) AS quality, sum(criticals)::BIGINT AS criticals FROM k JOIN r USING (path) GROUP BY id)
@@ -382,8 +419,7 @@ _LEARNED = "SELECT 'learned_' || CAST(doc_id AS STRING) AS id, 'rule ' || CAST(d
 
 
 def _learned(spark, sf):
-    spark.read.parquet(f"{sf}/documents.parquet").createOrReplaceTempView("_documents")
-    return spark.sql(_LEARNED + "_documents")
+    return spark.sql(_LEARNED + "{docs}", docs=spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 @query(f"""SELECT CASE WHEN grouping(language) = 0 THEN 'language' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'all' END AS grouped, language, severity, count(*)::BIGINT AS n,

@@ -10,14 +10,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillscan.operators import match, score
 from quillscan.operators.rules import Rule
+from quillscan.sources.files import symbols
 
 
 def watch(stream: DataFrame, rules: Sequence[Rule], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Analyse each batch of a stream of files (path, content, language) and append its file results to a table."""
+    """Analyse each batch of a stream of files (path, content, language) and write its file results to out/batch=number.
+
+    A batch that runs again takes its own place.
+    """
 
     def batch(files: DataFrame, number: int) -> None:
-        found = match.detect(files, rules)
-        score.file_results(files, found).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        found = match.detect(files, rules, symbols=symbols(files))
+        score.file_results(files, found).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

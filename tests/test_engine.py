@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillscan import cli
-from quillscan.errors import CheckpointError, InvalidRuleError, NotSupportedError, PlaybookError
+from quillscan.errors import CheckpointError, ConfigurationError, InvalidRuleError, NotSupportedError, PlaybookError
 from quillscan.functions import classify, text
 from quillscan.operators import control, match, report, rules, score
 from quillscan.sources import files as src
@@ -124,7 +124,8 @@ def test_gate_and_reports(spark, tree, capsys, monkeypatch):
     assert cli.main(["analyze-files", "src", "--format", "compact"]) == 0
     assert "src/door.rs: 6 issues, " in capsys.readouterr().out
     assert cli.main(["analyze-files", "src/door.rs", "-f", "json"]) == 0
-    assert json.loads(capsys.readouterr().out)["language"] == "rust"
+    told = json.loads(capsys.readouterr().out)
+    assert told["total_files"] == 1 and told["file_results"][0]["language"] == "rust" and told["average_quality_score"] == told["file_results"][0]["quality_score"]
     assert cli.main(["analyze-files", "src", "-d", "-f", "markdown"]) == 0
     assert "| Files analyzed | 3 |" in capsys.readouterr().out
     assert cli.main(["verify-todo", "-t", "t1", "-f", "src/door.rs", "--policy", "reported"]) == 0  # without rules a gate passes
@@ -135,6 +136,121 @@ def test_gate_and_reports(spark, tree, capsys, monkeypatch):
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("a.rs", "fn a() {}\n// TODO: x", "rust")], "path string, content string, language string").write.parquet(str(tmp_path / "in/one"))
+    spark.createDataFrame([("b.rs", "fn b() {\n    unimplemented!()\n}", "rust")], "path string, content string, language string").write.parquet(str(tmp_path / "in/two"))
     stream = spark.readStream.schema("path string, content string, language string").parquet(str(tmp_path / "in/*"))
     watch.watch(stream, rules.packs(["shipped"]), str(tmp_path / "out"), str(tmp_path / "points")).awaitTermination(60)
-    assert [(r["path"], r["issues"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.rs", 1, 92.0)]
+    assert sorted((r["path"], r["issues"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a.rs", 1, 92.0), ("b.rs", 1, 75.0)]
+
+
+def test_scoped_rules_need_symbols(spark):
+    files = spark.createDataFrame([("a.rs", "fn a() {}", "rust")], "path string, content string, language string")
+    with pytest.raises(ValueError):
+        match.match_lines(files, rules.packs(["shipped"]))
+
+
+def test_places_of_matches(spark):
+    rule = rules.Rule("r", "R", "Low", "File", "ab+", "rust", "p")
+    body = "xab\né abb ab\n\n  ab"
+    files = spark.createDataFrame([("a.rs", body, "rust")], "path string, content string, language string")
+    lines = {(r["line_no"], r["column"], r["snippet"]) for r in match.match_lines(files, [rule]).collect()}
+    whole = {(r["line_no"], r["column"], r["snippet"]) for r in match.match_whole(files, [rule]).collect()}
+    assert lines == {(1, 2, "ab"), (2, 4, "abb"), (2, 8, "ab"), (4, 3, "ab")}
+    assert whole == {(1, 2, "ab"), (2, 3, "abb"), (2, 7, "ab"), (4, 3, "ab")}
+
+
+def test_diff_of_null_contents(spark):
+    old = control.snapshot(spark.createDataFrame([("a", None), ("b", None), ("c", "x"), ("d", "x"), ("e", "x")], "path string, content string"))
+    new = control.snapshot(spark.createDataFrame([("a", None), ("b", "y"), ("c", None), ("d", "x"), ("f", None)], "path string, content string"))
+    assert {(r["path"], r["change"]) for r in control.diff(old, new).collect()} == {("b", "changed"), ("c", "changed"), ("e", "deleted"), ("f", "new")}
+
+
+def test_snapshots_hold_every_file(spark, tree, monkeypatch, capsys):
+    monkeypatch.chdir(tree)
+    (tree / ".quillscan").mkdir()
+    (tree / ".quillscan/own.json").write_text("{}")
+    names = {r["path"].rpartition("/")[2] for r in src.hashed(spark, ["."]).collect()}
+    assert names == {"door.rs", "door.py", "notes.txt", ".secret.py", "a.py", "raw.py"}
+    assert cli.main(["checkpoint", "create", "-n", "one", "."]) == 0
+    (tree / "src/raw.py").write_bytes(b"\xff\xfe\x01")
+    capsys.readouterr()
+    assert cli.main(["checkpoint", "diff", "one", "."]) == 0 and "raw.py" in capsys.readouterr().out
+    assert cli.main(["checkpoint", "list", "-f", "json"]) == 0 and json.loads(capsys.readouterr().out)[0]["file_count"] == 6
+
+
+def test_gate_leaves_tests_out_and_warns(spark, tree, monkeypatch, capsys):
+    import subprocess
+
+    monkeypatch.chdir(tree)
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init")
+    run("add", "src/door.py")
+    run("commit", "-m", "one")
+    (tree / "playbooks").mkdir()
+    rules.dump_playbook(rules.packs(["shipped"], ["rust", "python"])[:0] + [r for r in rules.packs(["shipped"], ["rust"]) if r.scope == "FunctionBody"], "Own", "rust", tree / "playbooks/own.yaml")
+    (tree / "src/door_test.rs").write_text("#[test]\nfn a() {\n    assert!(true);\n    unimplemented!()\n}\n")
+    (tree / "src/door.rs").write_text("fn ok() {}\n")
+    assert cli.main(["verify-todo", "-t", "t", "-f", "src/door.rs"]) == 0
+    said = capsys.readouterr()
+    assert "src/door_test.rs" in said.err and "PASSED" in said.out
+    (tree / "src/door.rs").write_text(RUST)
+    assert cli.main(["verify-todo", "-t", "t", "-f", "src/door.rs", "src/door_test.rs", "--strict"]) == 1
+    assert "required: 85" in capsys.readouterr().out
+
+
+def test_git_changes_of_all_four_kinds(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init")
+    for i in range(5):
+        (tmp_path / f"c{i}.py").write_text("x")
+        run("add", ".")
+        run("commit", "-m", str(i))
+    (tmp_path / "c0.py").write_text("y")  # changed
+    (tmp_path / "s.py").write_text("z")
+    run("add", "s.py")  # staged
+    (tmp_path / "u.py").write_text("z")  # untracked code
+    (tmp_path / "u.md").write_text("z")  # untracked, no code
+    got = [r["path"] for r in src.git_changes(spark, str(tmp_path)).collect()]
+    assert got == ["c0.py", "c2.py", "c3.py", "c4.py", "s.py", "u.py"]
+
+
+def test_store_of_learned_rules(tmp_path):
+    store = control.LearnedRules(str(tmp_path))
+    store.bootstrap()
+    assert sum(p.is_dir() for p in tmp_path.rglob("*")) == len(control.FOLDERS) == 16
+    (tmp_path / "config/learning-config.json").write_text('{"min_confidence": 0.9}')
+    store.bootstrap()
+    assert store.config.min_confidence == 0.9 and store.config.max_patterns_per_language == 100
+    (tmp_path / "patterns/rust/learned-patterns.json").write_text("[{")
+    warned = []
+    assert store.rules(["rust"], warned.append) == [] and len(warned) == 1
+    (tmp_path / "config/learning-config.json").write_text("[")
+    with pytest.raises(ConfigurationError):
+        store.bootstrap()
+
+
+def test_tasks(spark, tmp_path):
+    tasks = control.Tasks(str(tmp_path / "t/tasks.json"))
+    a, b = tasks.create("one", ["x.rs"]), tasks.create("two", ["y.rs"], max_critical_issues=1)
+    results = spark.createDataFrame([("x.rs", 60.0, 1), ("y.rs", 90.0, 1)], "path string, score double, criticals long")
+    assert [s["status"] for s in tasks.verify(results)] == ["needs-revision", "completed"]
+    assert not tasks.complete(a, results) and tasks.complete(b, results) and tasks.list()[1]["status"] == "completed"
+
+
+def test_full_assessment_and_advice(spark):
+    found = spark.createDataFrame([("a", "r", "Low")], "path string, rule_id string, severity string")
+    metrics = spark.createDataFrame([("a", 12, 1, 1, 1, 21.0, [1, 4, 5], 3, 1, 1, 2), ("b", 1, 1, 1, 1, 1.0, None, 0, 0, 0, 0)], "path string, cyclomatic int, cognitive int, npath int, halstead int, average_complexity double, loop_depths array<int>, allocation_hotspots int, leak_risks int, synchronization_issues int, thread_safety_concerns int")
+    got = {r["path"]: r for r in score.full_assessment(found, metrics).collect()}
+    a = got["a"]
+    assert (a["maintainability"], a["performance"], a["reliability"], a["security"], a["completeness"]) == (98 - 8 - 15 - 15, 100 - 10 - 30 - 6, 75, 80, 100)
+    assert got["b"]["overall"] == 100
+    advice = {r["path"]: r["recommendations"] for r in score.recommendations(metrics).collect()}
+    assert len(advice["a"]) == 5 and advice["b"] == []
+
+
+def test_indicators(spark):
+    df = spark.createDataFrame([("a/tests/test_x.py", "import pytest"), ("src/main.rs", "fn main() {}")], "path string, content string")
+    got = {r["path"]: r["t"] for r in df.select("path", classify.classified(F.col("content"), F.col("path")).alias("t")).collect()}
+    assert got["a/tests/test_x.py"]["should_suppress"] and len(got["a/tests/test_x.py"]["indicators"]) >= 3
+    assert got["src/main.rs"]["indicators"] == [] and not got["src/main.rs"]["is_test"]
