@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillscan.llm import mixing, near_dup, packing, quality, secrets
-from quillscan.llm.common import stash
+from quillscan.llm.common import drop, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each document and pass that takes words of it."""
+    """The mix of sources: a row for each piece of a document that a draw takes."""
     return mixing.mix(docs)
 
 
@@ -46,12 +46,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: None of the stages after the first can be told in SQL (hashing, tokenizers); tests hold each against a plain version.
+#: None of the stages after the first can be told in SQL (hashing, tokenizers); tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. A stage's table goes once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
