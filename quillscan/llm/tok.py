@@ -65,7 +65,8 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text that holds the string of an added token, in any case, goes to the library whole
+        self.added = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what self.known was until it was full
 
@@ -74,7 +75,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(x) for x in texts]
+        cut = [None if self.holds_added(x) else self.cut(x) for x in texts]
         need: set[str] = set()
         for pieces in cut:
             if pieces is not None:
@@ -95,6 +96,12 @@ class Pieces:
 
     skip = 0
 
+    def holds_added(self, text: str) -> bool:
+        if "<|" not in text and all(x.startswith("<|") for x in self.added):
+            return False
+        low = text.lower()
+        return any(x in low for x in self.added)
+
     def cut(self, text: str) -> list[str] | None:
         raise NotImplementedError
 

@@ -81,17 +81,14 @@ def with_suffix_sums(hist: DataFrame) -> DataFrame:
 
 def answer(sums: DataFrame, limits: Iterable[int]) -> DataFrame:
     """(limit, docs_cut, tokens_kept, tokens_cut) for any context limits, also between the lengths that occur."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    # what holds at a limit is what holds at the largest length that is no larger: a running maximum over both sets of points
-    marks = sums.select(F.col("length").alias("at"), F.struct("length", "docs_longer", "tokens_upto", "tokens_longer").alias("s"), F.lit(0).alias("ask"))
-    marks = marks.unionByName(asked.select(F.col("limit").alias("at"), F.lit(None).cast(marks.schema["s"].dataType).alias("s"), F.lit(1).alias("ask")))
-    total = sums.agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
-    seen = marks.withColumn("s", F.last("s", ignorenulls=True).over(Window.orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0))).where("ask = 1")
-    joined = seen.join(F.broadcast(total))  # one row
-    longer = F.coalesce(F.col("s.docs_longer"), F.col("d"), F.lit(0))
-    kept = F.coalesce(F.col("s.tokens_upto"), F.lit(0)) + F.col("at") * longer
-    return joined.select(F.col("at").alias("limit"), longer.cast("long").alias("docs_cut"), kept.cast("long").alias("tokens_kept"), (F.coalesce("t", F.lit(0)) - kept).cast("long").alias("tokens_cut"))
+    limits = [int(x) for x in limits]
+    # what holds at a limit is what holds at the largest length that is no larger
+    best = [F.max(F.when(F.col("length") <= x, F.struct("length", "docs_longer", "tokens_upto"))).alias(f"s{i}") for i, x in enumerate(limits)]
+    row = sums.agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"), *best)
+    longer = lambda i: F.coalesce(F.col(f"s{i}.docs_longer"), F.col("d"), F.lit(0))
+    kept = lambda i, x: F.coalesce(F.col(f"s{i}.tokens_upto"), F.lit(0)) + F.lit(x) * longer(i)
+    answers = [F.struct(F.lit(x).cast("long").alias("limit"), longer(i).cast("long").alias("docs_cut"), kept(i, x).cast("long").alias("tokens_kept"), (F.coalesce("t", F.lit(0)) - kept(i, x)).cast("long").alias("tokens_cut")) for i, x in enumerate(limits)]
+    return row.select(F.explode(F.array(*answers)).alias("x")).select("x.*")
 
 
 def quantiles(sums: DataFrame, shares: Iterable[float]) -> DataFrame:
