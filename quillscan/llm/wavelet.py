@@ -188,38 +188,46 @@ def write(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabu
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tok.opened(kind, path)
+        width = "<u2" if max(model.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in tok.portions(texts):
-                ids = [x + end for x in model.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in ids], "i8")
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                wide = int(flat.max(initial=0)) > 0xFFFF
-                held, step = memoryview(flat.tobytes() if wide else flat.astype("<u2").tobytes()), 4 if wide else 2
-                ends = (np.cumsum(sizes) * step).tolist()
-                parts = [held[y - n * step : y].tobytes() for y, n in zip(ends, sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(parts, "binary")], ["d", "n", "ids"])
+                ids = model.encode(texts[a:b])
+                sizes = np.array([len(x) // 4 + 1 for x in ids], "i8")
+                flat = np.frombuffer(end.join([*ids, b""]), "<u4").astype(width)
+                offsets = np.concatenate(([0], np.cumsum(sizes) * flat.itemsize)).astype("i4")
+                held = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), held], ["d", "n", "ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, tokens = TaskContext.get().partitionId(), 0, 0
-        names: list[int | None] = []
-        sizes: list[int] = []
-        held: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # ids of documents, whether known, sizes, tokens
 
         def file() -> pa.RecordBatch:
-            made = build(np.array([x or 0 for x in names], "i8"), np.array([x is not None for x in names]), np.array(sizes, "i8"), np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([part], "int32"), pa.array([shard], "int32"), pa.array([len(names)], "int64"), pa.array([sum(sizes)], "int64"), pa.array([made], "binary")], ["part", "shard", "n_docs", "n_tokens", "file"])
+            names, known, sizes, ids = (np.concatenate(x) for x in zip(*parts))
+            made = build(names, known, sizes, ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], "int32"), pa.array([shard], "int32"), pa.array([len(names)], "int64"), pa.array([len(ids)], "int64"), pa.array([made], "binary")], ["part", "shard", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            for name, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                names.append(name)
-                sizes.append(n)
-                held.append(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4"))
-                tokens += n
+            if not batch.num_rows:
+                continue
+            known = np.asarray(batch.column(0).is_valid())
+            names, sizes = np.asarray(batch.column(0).fill_null(0)), np.asarray(batch.column(1))
+            column = batch.column(2)
+            offsets = np.frombuffer(column.buffers()[1], "<i4", count=len(column) + 1, offset=4 * column.offset)
+            width = (int(offsets[-1]) - int(offsets[0])) // int(sizes.sum())
+            flat = np.frombuffer(column.buffers()[2], f"<u{width}", count=int(sizes.sum()), offset=int(offsets[0]))
+            ends, at = np.cumsum(sizes), 0
+            while at < len(names):  # a file ends with the document that fills it
+                before = int(ends[at - 1]) if at else 0
+                upto = min(int(np.searchsorted(ends, before + shard_tokens - tokens)) + 1, len(names))
+                parts.append((names[at:upto], known[at:upto], sizes[at:upto], flat[before : ends[upto - 1]].astype("<u4" if width == 4 else "<u2")))
+                tokens += int(ends[upto - 1]) - before
+                at = upto
                 if tokens >= shard_tokens:
                     yield file()
-                    shard, tokens, names, sizes, held = shard + 1, 0, [], [], []
-        if names:
+                    shard, tokens, parts = shard + 1, 0, []
+        if parts:
             yield file()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t"))
