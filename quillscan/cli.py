@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -71,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, base: str = ".quillscan") -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillscan").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    base = os.path.abspath(base)  # Spark's own working folder can be another one
     store, points = control.LearnedRules(base), control.Checkpoints(spark, f"{base}/checkpoints")
     if args.command == "analyze-files":
         return analyze(args, spark, points)
